@@ -26,7 +26,7 @@ from .common import slices
 #: Entries and characters of a cached string; both bound a worker's memory.
 CACHE_ENTRIES, CACHED_CHARS = 400_000, 64
 #: Unicode's White_Space, written out since libraries differ on it.
-SPACES = "\t\n\x0b\x0c\r \x85\xa0                　"
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A space beside other white space.
 DOUBLED = tuple({x for s in SPACES for x in (" " + s, s + " ")})
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, secrets, sharding
+from . import bpe, fingerprint, packing, secrets, sharding
 from .common import ensure_checkpoint_dir, table
 
 
@@ -28,10 +28,14 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(cut_pieces)
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.with_edits(table(spark, sf_dir, "documents"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_shards, op3_packing, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_shards, op3_packing, op7_fingerprints, op10_bpe)}
 
 ORACLE: dict[str, str] = {}
