@@ -1,6 +1,6 @@
 """Document fingerprints: a homomorphic hash of the multiset of a text's paragraphs.
 
-Each paragraph (a line, cut further after sentence ends) hashes to a wide sparse vector of
+Each paragraph (a line, cut further after punctuation) hashes to a wide sparse vector of
 integers; the fingerprint is the sum of these modulo 2^32. The order of paragraphs doesn't matter,
 and adding or removing one adds or subtracts its vector: no rescan. The vector has a count, DENSE
 lanes that every paragraph touches, which make collisions negligible, and LEVELS x BUCKETS lanes of
@@ -23,10 +23,10 @@ from pyspark.sql.window import Window
 
 from .common import partitions
 
-DENSE, LEVELS, BUCKETS = 8, 10, 8
+DENSE, LEVELS, BUCKETS = 6, 7, 12
 LANES = 1 + DENSE + LEVELS * BUCKETS
 MASK = (1 << 32) - 1
-PARAGRAPHS = r"(?<=[.!?])\s+|\n+"
+PARAGRAPHS = r"(?<=[.!?,;:|])\s+|\n+"
 
 
 def lanes(paragraph: Column) -> list[Column]:
@@ -41,8 +41,8 @@ def lane_of(paragraph: Column) -> tuple[Column, Column]:
     """The sparse lane that a paragraph touches, and what it adds there."""
     h = F.xxhash64(F.lit(DENSE), paragraph)
     level = reduce(lambda rest, k: F.when(h.bitwiseAND((1 << (k + 1)) - 1) != 0, k).otherwise(rest), range(LEVELS - 2, -1, -1), F.lit(LEVELS - 1))
-    bucket = F.shiftrightunsigned(h, 32).bitwiseAND(BUCKETS - 1)
-    return (level * BUCKETS + bucket).cast("int"), F.when(paragraph != "", F.shiftrightunsigned(h, 35).bitwiseOR(1)).otherwise(0)
+    bucket = F.shiftrightunsigned(h, 40) % BUCKETS
+    return (level * BUCKETS + bucket).cast("int"), F.when(paragraph != "", F.shiftrightunsigned(h, 8).bitwiseAND(MASK).bitwiseOR(1)).otherwise(0)
 
 
 def fingerprints(texts: DataFrame, keys: list[str], text_col: str, pattern: str = PARAGRAPHS) -> DataFrame:

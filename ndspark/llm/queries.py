@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, packing, secrets, sharding
-from .common import ensure_checkpoint_dir, table
+from . import bpe, fingerprint, packing, secrets, sharding, toxicity
+from .common import ensure_checkpoint_dir, in_fold, table
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +28,12 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(cut_pieces)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), in_fold("doc_id", 4, 2)
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), "toxic", held_out)
+    return toxicity.score(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.with_edits(table(spark, sf_dir, "documents"))
 
@@ -36,6 +42,6 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_shards, op3_packing, op7_fingerprints, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_shards, op3_packing, op6_toxicity, op7_fingerprints, op10_bpe)}
 
 ORACLE: dict[str, str] = {}
