@@ -12,6 +12,7 @@ kinds there is no lexicon and all scores are 0. Whole texts are read. Repeated r
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -26,8 +27,9 @@ from .common import labelled_sample, slices
 
 #: Labelled documents of each class that a fit reads at most (about), terms that it keeps at most.
 PER_CLASS, MAX_TERMS = 4000, 400
-#: A term must be in this share of toxic documents (and in five at least), and so much likelier there than elsewhere.
-MIN_SHARE, MIN_DOCS, MIN_LIFT = 0.005, 5, 25.0
+#: A term must be in this share of toxic documents (and in three at least), and so much likelier there
+#: than elsewhere. A document that n chosen terms cover counts SEEN ** n for the next.
+MIN_SHARE, MIN_DOCS, MIN_LIFT, SEEN = 0.003, 3, 25.0, 0.25
 PREFIXES = range(4, 9)
 #: Code points of context on either side of a hit.
 WINDOW = 48
@@ -197,17 +199,33 @@ def _terms(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([n[1][t] for t in terms], pa.int64()), pa.array([n[0][t] for t in terms], pa.int64())], ["term", "pos", "neg"])
 
 
-def chosen(counts: list[tuple[str, int, int]]) -> list[str]:
-    """Terms by how many toxic documents have them, without those that others cover."""
-    kept: list[tuple[str, int]] = []
-    for term, pos, _ in sorted(counts, key=lambda t: (-t[1], -len(t[0]), t[0])):
-        word = term.rstrip("*")
-        if any(k.endswith("*") and word.startswith(k[:-1]) for k, _ in kept) or term.endswith("*") and sum(n for k, n in kept if k.startswith(word)) >= 0.9 * pos:
+def chosen(counts: dict[str, int], having: list[list[str]]) -> list[str]:
+    """Terms that explain the toxic documents, each given by the candidates it has: again and again the
+    one that covers most of what the others leave. Words that toxic documents merely share, as near
+    copies do, add little beside the terms that make them toxic."""
+    where: dict[str, list[int]] = {}
+    for k, terms in enumerate(having):
+        for t in terms:
+            where.setdefault(t, []).append(k)
+    left = np.ones(len(having))
+    docs = {t: np.array(ks) for t, ks in where.items()}
+    heap = [(-float(len(ks)), -counts[t], -len(t), t) for t, ks in docs.items()]  # lazily updated: gains only fall
+    heapq.heapify(heap)
+    kept: list[str] = []
+    while heap and len(kept) < MAX_TERMS:
+        _, pos, size, term = heapq.heappop(heap)
+        gain = float(left[docs[term]].sum())
+        if gain < max(MIN_DOCS - 1, MIN_SHARE * len(having)):
             continue
-        kept.append((term, pos))
-        if len(kept) == MAX_TERMS:
-            break
-    return [k for k, _ in kept]
+        if heap and -heap[0][0] > gain + 1e-9:
+            heapq.heappush(heap, (-gain, pos, size, term))
+            continue
+        near = [t for t in docs if t.startswith(term.rstrip("*")) and len(docs[t]) >= 0.9 * len(docs[term])]
+        term = max(near, key=lambda t: (len(t.rstrip("*")), not t.endswith("*"), t))  # as long as it says the same
+        if term not in kept:
+            kept.append(term)
+        left[docs[term]] *= SEEN
+    return kept
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, id_col: str = "doc_id", text_col: str = "text", per_class: int = PER_CLASS) -> Model:
@@ -225,7 +243,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, id_col
         rate = lambda n, y: (F.col(n) + 0.5) / (size[y] + 1)
         counts = sample.mapInArrow(_terms, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
         strong = counts.where((F.col("pos") >= least) & (rate("pos", 1) / rate("neg", 0) >= MIN_LIFT)).orderBy(F.desc("pos"), "term").limit(20 * MAX_TERMS)
-        terms = chosen([(r.term, r.pos, r.neg) for r in strong.collect()])
+        counted = {r.term: r.pos for r in strong.collect()}
+
+        def candidates(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in slices(batches):
+                words = [set(WORD.findall(text.lower())) for text in b.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array([[t for t in {*ws, *(w[:k] + "*" for w in ws for k in PREFIXES if len(w) > k)} if t in counted] for ws in words], pa.list_(pa.string()))], ["terms"])
+
+        terms = chosen(counted, [r.terms for r in sample.where("y = 1").mapInArrow(candidates, "terms array<string>").collect()])
 
         def misspelled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             """Near hits by term in documents that aren't toxic."""
