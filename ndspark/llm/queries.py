@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, packing, secrets, sharding, toxicity
+from . import bpe, fingerprint, packing, quality, secrets, sharding, toxicity
 from .common import ensure_checkpoint_dir, in_fold, table
 
 
@@ -28,6 +28,12 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(cut_pieces)
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), in_fold("doc_id", 3, 1)
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), "quality", held_out)
+    return quality.score(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = table(spark, sf_dir, "documents"), in_fold("doc_id", 4, 2)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), "toxic", held_out)
@@ -42,6 +48,6 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_shards, op3_packing, op6_toxicity, op7_fingerprints, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_shards, op3_packing, op4_quality, op6_toxicity, op7_fingerprints, op10_bpe)}
 
 ORACLE: dict[str, str] = {}

@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import labelled_sample, slices
 
@@ -297,11 +298,4 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", into: str = "sc
             found = np.array([hits(t or "", words) for t in b.column(text_col).to_pylist()]).reshape(-1, 3)
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in kept), pa.array(model.scores(found))], [*kept, into])
 
-    return docs.mapInArrow(run, _with(docs, into))
-
-
-def _with(docs: DataFrame, into: str):  # noqa: ANN202
-    from pyspark.sql import types as T
-
-    return T.StructType([*docs.schema.fields, T.StructField(into, T.DoubleType())])
-
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(into, T.DoubleType())]))
