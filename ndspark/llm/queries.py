@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, packing, quality, secrets, sharding, toxicity
+from . import bpe, fingerprint, neardup, packing, quality, secrets, sharding, toxicity
 from .common import ensure_checkpoint_dir, in_fold, table
 
 
@@ -44,10 +44,14 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.with_edits(table(spark, sf_dir, "documents"))
 
 
+def op8_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_shards, op3_packing, op4_quality, op6_toxicity, op7_fingerprints, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_shards, op3_packing, op4_quality, op6_toxicity, op7_fingerprints, op8_neardup, op10_bpe)}
 
 ORACLE: dict[str, str] = {}
