@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, fingerprint, neardup, packing, quality, secrets, sharding, topk, toxicity
-from .common import cut, ensure_checkpoint_dir, in_fold, table
+from .common import cut, in_fold, shared_folder, table
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,9 +17,7 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ensure_checkpoint_dir(spark)
-    shared = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
-    placed = sharding.shard(table(spark, sf_dir, "documents"), 24, map_path=f"{shared}/slot-maps/{uuid.uuid4().hex}")
+    placed = sharding.shard(table(spark, sf_dir, "documents"), 24, map_path=f"{shared_folder(spark)}/slot-maps/{uuid.uuid4().hex}")
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot", "edited_shard")
 
 
