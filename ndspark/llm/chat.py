@@ -58,9 +58,11 @@ def branches(messages: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     hops: list[DataFrame] = []
     most = state.count()
     while 2 ** len(hops) <= 2 * most and not state.where("up is not null").isEmpty():
-        hops.append(state.where("up is not null").select("tree", "node", "up"))
-        far = state.alias("s").join(state.alias("u"), same("s", "u", ("up", "node")), "left")
-        state = cut(far.select("s.tree", "s.node", F.col("u.up").alias("up"), (F.col("s.depth") + F.coalesce("u.depth", F.lit(0))).alias("depth"), (F.col("s.total") + F.coalesce("u.total", F.lit(0.0))).alias("total")))
+        active = state.where("up is not null")  # the others have reached their root
+        hops.append(active.select("tree", "node", "up"))
+        far = active.alias("s").join(state.alias("u"), same("s", "u", ("up", "node")))
+        moved = far.select("s.tree", "s.node", "u.up", (F.col("s.depth") + F.col("u.depth")).alias("depth"), (F.col("s.total") + F.col("u.total")).alias("total"))
+        state = cut(state.where("up is null").unionByName(moved))
     rooted = state.where("up is null").drop("up")
     with_leaf = rooted.alias("r").join(parents.alias("p"), same("r", "p", ("node", "node")), "left")
     return with_leaf.select("r.tree", "r.node", "r.depth", "r.total", F.col("p.node").isNull().alias("leaf")), hops
