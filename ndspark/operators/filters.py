@@ -32,7 +32,9 @@ class Filter:
     n: int
     tensors: frozenset[str] = frozenset()
 
-    def predicate(self, idx: Column, column: Callable[[str], Column]) -> Column:
+    def predicate(self, idx: Column, column: Callable[[str], Column], strict: bool = False) -> Column:
+        """strict: never null. A plain comparison, which scans can use, is enough where null and false are
+        alike: at the top and below & and |, but not below ~, ^ or -."""
         raise NotImplementedError
 
     def positions(self) -> np.ndarray | None:
@@ -82,8 +84,9 @@ class ConstFilter(Filter):
         self.op, self.tensor, self.value = op, tensor, tensor.spec.kind.literal(value)
         self.axis, self.n, self.tensors = tensor.axes[0], tensor.shape[0], frozenset([tensor.name])
 
-    def predicate(self, idx: Column, column: Callable[[str], Column]) -> Column:
-        return sound(OPERATORS[self.op](column(self.tensor.name), F.lit(self.value)))
+    def predicate(self, idx: Column, column: Callable[[str], Column], strict: bool = False) -> Column:
+        out = OPERATORS[self.op](column(self.tensor.name), self.tensor.spec.kind.lit(self.value))
+        return sound(out) if strict else out
 
 
 class TensorFilter(Filter):
@@ -95,15 +98,16 @@ class TensorFilter(Filter):
         self.op, self.left, self.right = op, left, right
         self.axis, self.n, self.tensors = left.axes[0], left.shape[0], frozenset([left.name, right.name])
 
-    def predicate(self, idx: Column, column: Callable[[str], Column]) -> Column:
-        return sound(OPERATORS[self.op](column(self.left.name), column(self.right.name)))
+    def predicate(self, idx: Column, column: Callable[[str], Column], strict: bool = False) -> Column:
+        out = OPERATORS[self.op](column(self.left.name), column(self.right.name))
+        return sound(out) if strict else out
 
 
 class SliceFilter(Filter):
     def __init__(self, axis: Axis, n: int, which: slice):
         self.axis, self.n, self.range = axis, n, range(*which.indices(n))
 
-    def predicate(self, idx: Column, column: Callable[[str], Column]) -> Column:
+    def predicate(self, idx: Column, column: Callable[[str], Column], strict: bool = False) -> Column:
         r = self.range if self.range.step > 0 else self.range[::-1]
         if not len(r):
             return F.lit(False)
@@ -127,7 +131,7 @@ class IndicesFilter(Filter):
         self.axis, self.n, self.at = axis, n, np.sort(np.where(at < 0, at + n, at))
         self.flag = f"__in_{id(self):x}"
 
-    def predicate(self, idx: Column, column: Callable[[str], Column]) -> Column:
+    def predicate(self, idx: Column, column: Callable[[str], Column], strict: bool = False) -> Column:
         if len(self.at) > IN_LIST:
             return sound(column(self.flag))
         return idx.isin(np.unique(self.at).tolist()) if len(self.at) else F.lit(False)
@@ -189,11 +193,11 @@ class CompoundFilter(Filter):
         self.axis, self.n = left.axis, left.n
         self.tensors = left.tensors | (right.tensors if right else frozenset())
 
-    def predicate(self, idx: Column, column: Callable[[str], Column]) -> Column:
-        p = self.left.predicate(idx, column)
+    def predicate(self, idx: Column, column: Callable[[str], Column], strict: bool = False) -> Column:
+        p = self.left.predicate(idx, column, strict or self.op in "~^")
         if self.right is None:
             return ~p
-        q = self.right.predicate(idx, column)
+        q = self.right.predicate(idx, column, strict or self.op in "^-")
         return {"&": lambda: p & q, "|": lambda: p | q, "^": lambda: p != q, "-": lambda: p & ~q}[self.op]()
 
     def tables(self) -> dict[str, np.ndarray]:

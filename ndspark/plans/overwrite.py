@@ -28,7 +28,7 @@ def overwrite(view: View, t: TensorRef, values: Any) -> None:
         spec = replace(t.spec, value=t.spec.kind.literal(np.asarray(values).item()))
         return _put(ws, t.name, spec)
     else:
-        constant = np.ndim(values) == 0 and not t.jagged
+        constant = not t.jagged and np.ndim(values) == 0
         shape = view.get_shape(t.name)
         if constant:
             new = _constant(view, t, values)

@@ -36,7 +36,7 @@ def attributes(ws: WorkspaceManager, rows: DataFrame, dim: str, taken: set[str]
         if f.name != "idx" and dtype_of(f.dataType):
             out[f.name] = tensor_name(camel_case(f.name), taken)
             taken.add(out[f.name])
-            put(ws, out[f.name], rows.select("idx", F.col(f.name).alias("v")), (dim,))
+            put(ws, out[f.name], rows.select("idx", F.col(f"`{f.name}`").alias("v")), (dim,))
     return out
 
 

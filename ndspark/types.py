@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numbers
 from dataclasses import dataclass
+from decimal import Decimal
 from typing import Any
 
 import numpy as np
@@ -38,13 +39,16 @@ class DType:
             raise TypeError(f"{value!r} is no constant of type {self.name}")
         return self.python(value)
 
+    def lit(self, value: Any) -> Column:
+        return F.lit(Decimal(value) if self.name == "uint64" else value)
+
     def cast(self, column: Column) -> Column:
         """The column in this type; values out of range raise, as Spark's ANSI casts do."""
         if self.name == "float16":
             return half(column.cast("float"))
         out = column.cast(self.spark)
         if self.name.startswith("uint"):
-            fits = out.isNull() | out.between(F.lit(self.low), F.lit(self.high))
+            fits = out.isNull() | out.between(self.lit(self.low), self.lit(self.high))
             return F.when(fits, out).otherwise(F.raise_error(F.concat(F.lit(f"out of range for {self.name}: "), out.cast("string"))).cast(self.spark))
         return out
 
