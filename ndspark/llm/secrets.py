@@ -16,6 +16,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import cut, slices
 
@@ -136,4 +137,5 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask
                 cols["n_chars"] = pa.array(sizes, pa.int64()).cast(b.schema.field("n_chars").type)
             yield pa.RecordBatch.from_arrays(list(cols.values()), b.schema.names)
 
-    return docs.mapInArrow(hide, docs.schema)
+    nullable = T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema])
+    return docs.mapInArrow(hide, nullable)
