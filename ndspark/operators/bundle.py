@@ -33,6 +33,11 @@ class Bundle:
     varm: dict[str, DataFrame] = field(default_factory=dict)
     categorical: dict[str, list[str]] = field(default_factory=dict)
 
+    def to_pandas(self, side: str = "obs"):  # noqa: ANN201
+        """One of the tables on the client, in order, with its categorical columns."""
+        table = getattr(self, side).orderBy("idx").toPandas().set_index("idx")
+        return table.astype(dict.fromkeys(self.categorical.get(side, []), "category"))
+
 
 def renamed(names: Iterable[str]) -> dict[str, str]:
     """Names by tensor from entries "Tensor" or "Tensor->New"."""

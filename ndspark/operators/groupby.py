@@ -120,16 +120,10 @@ class Accumulator:
     """Moments of one group, kept up as arrays come; two accumulators merge."""
 
     def __init__(self) -> None:
-        self.n, self.first = 0, None
-        self.sums = np.zeros(4)
-        self.positive = self.least = self.most = None
+        self.n = 0
 
     def add(self, x: Any) -> None:
-        x = np.asarray(x, float)
-        if self.n == 0:
-            self.first, self.least, self.most, self.positive = x, x, x, np.zeros(x.shape)
-            self.mean_, self.m2, self.m3, self.m4 = np.zeros(x.shape), np.zeros(x.shape), np.zeros(x.shape), np.zeros(x.shape)
-        one = Accumulator()
+        x, one = np.asarray(x, float), Accumulator()
         one.n, one.first, one.least, one.most, one.positive = 1, x, x, x, (x > 0).astype(float)
         one.mean_, one.m2, one.m3, one.m4 = x, 0 * x, 0 * x, 0 * x
         self.merge(one)

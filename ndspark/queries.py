@@ -17,6 +17,7 @@ from .operators.bundle import bundle, categorical
 from .operators.view import View
 from .plans import layout
 from .plans.staging import staged
+from .sources.catalog import Catalog
 from .sources.interop import dense
 from .values import TensorValue
 from .workspace import Dimension, Tensor, WorkspaceManager, connect, wrap
@@ -306,17 +307,10 @@ TURNS = "(SELECT conv_id, list(text ORDER BY turn) AS t FROM conversations GROUP
 def talks(spark: SparkSession, sf_dir: str) -> WorkspaceManager:
     """Conversations as a jagged string tensor, from (idx, shape, v) rows."""
     rows = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("idx")).agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("Text"))
-    rows = staged(rows.withColumn("shape", F.array(F.size("Text"))))
-    from dataclasses import asdict
-
-    from .schema import DimensionSpec, Segment, TensorSpec
-    from .sources.catalog import Catalog
-
+    rows = staged(rows.select("idx", F.array(F.size("Text")).alias("shape"), F.col("Text").alias("v")))
     ws = WorkspaceManager(Catalog(spark))
-    n, longest = rows.agg(F.count("*"), F.max(F.size("Text"))).first()
-    ws._catalog.frames["@talks"] = rows
-    spec = TensorSpec("string", ("convs", None), (n, longest or 0), True, None, (Segment("@talks", "Text", (0,), (longest or 0,)),))
-    ws._catalog.change(lambda tree: (tree["dims"].update(convs=asdict(DimensionSpec(None, n))), tree["tensors"].update(Text=spec.to_json())))
+    ws.convs = Dimension(None)
+    ws.Text = Tensor("string", ("convs", None), jagged=True, inits=rows)
     return ws
 
 

@@ -81,6 +81,34 @@ def import_matrix(ws: WorkspaceManager, x: DataFrame, obs: DataFrame, var: DataF
         scalars(ws, uns or {})
 
 
+def import_adata(ws: WorkspaceManager, adata: Any, layers: bool = True, obsm: bool = True, uns: bool = True, **names: str) -> None:
+    """An annotated matrix in memory: X and layers dense or with tocoo(), obs and var as pandas frames, obsm and
+    obsp by key, uns scalars. Its index becomes the tensor ObsNames or VarNames."""
+    import numpy as np
+
+    spark = ws._spark
+
+    def cells(x: Any) -> DataFrame:
+        if hasattr(x, "tocoo"):
+            c = x.tocoo()
+            rows, cols, v = c.row, c.col, c.data
+        else:
+            x = np.asarray(x)
+            rows, cols = np.nonzero(x)
+            v = x[rows, cols]
+        kind = "long" if np.issubdtype(np.asarray(v).dtype, np.integer) else "double"
+        return spark.createDataFrame([*zip(map(int, rows), map(int, cols), np.asarray(v).tolist(), strict=True)], f"row long, col long, v {kind}")
+
+    def side(table: Any, index: str) -> DataFrame:
+        flat = table.rename_axis(index).reset_index()
+        flat = flat.astype({c: str for c in flat.columns if str(flat[c].dtype) in ("category", "object")})
+        return spark.createDataFrame(flat.assign(idx=range(len(flat))))
+
+    arrays = {k: spark.createDataFrame([(n, [float(x) for x in row]) for n, row in enumerate(np.asarray(v))], "idx long, v array<double>") for k, v in (dict(adata.obsm) if obsm else {}).items()}
+    plain = {k: v for k, v in (dict(adata.uns) if uns else {}).items() if isinstance(v, (str, int, float, bool))}
+    import_matrix(ws, cells(adata.X), side(adata.obs, "obs_names"), side(adata.var, "var_names"), layers={k: cells(v) for k, v in (dict(adata.layers) if layers else {}).items()}, obsm=arrays, obsp={k: cells(v) for k, v in dict(getattr(adata, "obsp", {})).items()}, uns=plain, **names)
+
+
 def import_layers(ws: WorkspaceManager, layers: dict[str, DataFrame], obs: DataFrame, var: DataFrame, attrs: dict[str, Any] | None = None, clusters: DataFrame | None = None, means: DataFrame | None = None) -> None:
     """A gene-by-cell file: layers (row = gene, col = cell, v) are transposed; without a main layer the
     expression is the sum of the spliced, unspliced and ambiguous ones. clusters (idx, ...) and

@@ -320,17 +320,24 @@ class WorkspaceManager:
         return spec.with_segment(Segment(path, name, (0,) * (spec.rank - 1), tuple(value.shape[1:])), value.shape)
 
     def _from_rows(self, node: dict[str, Any], name: str, spec: TensorSpec, rows: DataFrame) -> TensorSpec:
-        """From (idx, v), idx being 0 ... n-1; arrays of one length for rank 2."""
-        if spec.rank not in (1, 2) or spec.jagged:
-            raise ValueError("rows of a DataFrame fill tensors of rank 1 or 2")
-        width = F.max(F.size("v")) if spec.rank == 2 else F.lit(0)
-        n, low, high, most, least = rows.agg(F.count_distinct("idx"), F.min("idx"), F.max("idx"), width, F.min(F.size("v")) if spec.rank == 2 else F.lit(0)).first()
-        if n and (low, high) != (0, n - 1) or most != least:
-            raise ValueError("idx must be 0 ... n-1, arrays of one length")
-        shape = (n,) if spec.rank == 1 else (n, most or 0)
+        """From (idx, v), or (idx, shape, v) if jagged, idx being 0 ... n-1; arrays of one length for rank 2."""
+        if spec.rank == 0 or spec.rank > 2 and not spec.jagged:
+            raise ValueError("rows of a DataFrame fill vectors, matrices and jagged tensors")
+        whole = [F.count("*"), F.count_distinct("idx"), F.min("idx"), F.max("idx")]
+        if spec.jagged:
+            n, distinct, low, high, *inner = rows.agg(*whole, *[F.max(F.get("shape", F.lit(k))) for k in range(spec.rank - 1)]).first()
+        elif spec.rank == 2:
+            n, distinct, low, high, least, *inner = rows.agg(*whole, F.min(F.size("v")), F.max(F.size("v"))).first()
+            if inner != [least]:
+                raise ValueError("the arrays differ in length; a jagged tensor can hold them")
+        else:
+            (n, distinct, low, high), inner = rows.agg(*whole).first(), []
+        if n != distinct or n and (low, high) != (0, n - 1):
+            raise ValueError("idx must be 0 ... n-1")
+        shape = (n, *(x or 0 for x in inner))
         self._sized(node, name, spec, shape)
         v = spec.kind.cast(F.col("v")) if spec.rank == 1 else F.transform("v", spec.kind.cast)
-        path = self._catalog.write(rows.select(F.col("idx").cast("long").alias("idx"), v.alias(name)))
+        path = self._catalog.write(rows.select(F.col("idx").cast("long").alias("idx"), *(["shape"] if spec.jagged else []), v.alias(name)))
         return spec.with_segment(Segment(path, name, (0,) * (spec.rank - 1), shape[1:]), shape)
 
     def __delattr__(self, name: str) -> None:

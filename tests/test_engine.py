@@ -414,6 +414,31 @@ def test_importers(ws, spark, tmp_path):
     assert got(c, "CellBoundaries")[1].tolist() == [1, 2, 3, 4] + [0] * 22
 
 
+def test_import_adata(ws):
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    x = np.array([[0, 2.5], [1.0, 0], [0, 0]])
+    coo = SimpleNamespace(tocoo=lambda: SimpleNamespace(row=np.array([0, 1]), col=np.array([1, 0]), data=np.array([2.5, 1.0])))
+    from ndspark.sources.interop import import_adata
+
+    import_adata(ws, SimpleNamespace(X=x, layers={"raw": coo}, obs=pd.DataFrame({"kind": pd.Categorical(["a", "b", "a"])}, index=["x", "y", "z"]), var=pd.DataFrame({"len": [1, 2]}, index=["g", "h"]), obsm={"X_pca": np.ones((3, 2))}, obsp={"near": np.eye(3)}, uns={"n": 1, "skip": []}))
+    assert (got(ws, "Expression") == x).all() and (got(ws, "Raw") == x).all() and list(got(ws, "Kind")) == ["a", "b", "a"]
+    assert list(got(ws, "ObsNames")) == ["x", "y", "z"] and ws.N.scalar() == 1 and (got(ws, "Near") == np.eye(3)).all()
+    b = ws[:].bundle(obs_key="ObsNames")
+    assert b.to_pandas("obs")["ObsNames"].tolist() == ["x", "y", "z"] and "XPca" in b.obsm
+
+
+def test_jagged_from_rows(ws, spark):
+    ws.d = Dimension(None)
+    rows = spark.createDataFrame([(0, [1], [5]), (1, [0], []), (2, [2], [6, 7])], "idx long, shape array<int>, v array<int>")
+    ws.J = Tensor("int32", ("d", None), jagged=True, inits=rows)
+    assert [r.tolist() for r in got(ws, "J")] == [[5], [], [6, 7]] and ws.J.shape == (3, 2)
+    with pytest.raises(ValueError):
+        ws.K = Tensor("int32", ("d", None), inits=rows.drop("shape"))
+
+
 def test_storage(ws):
     from ndspark.sources.storage import WorkspaceStorage
 
