@@ -373,7 +373,7 @@ def variants(seed, n):
 @pytest.mark.parametrize(("seed", "size", "percent", "small"), [(1, 3, 85, False), (2, 5, 80, False), (3, 3, 85, True)])
 def test_near_duplicates(spark, seed, size, percent, small, monkeypatch):
     if small:  # large regions, large clusters and distributed rounds, on few rows
-        for name, value in (("REGION", 3), ("CLUSTER", 3), ("LEADERS", 2), ("BROADCAST_IDS", 0)):
+        for name, value in (("REGION", 3), ("CLUSTER", 3), ("LEADERS", 2), ("BROADCAST_IDS", 0), ("BROADCAST_LEADERS", 0)):
             monkeypatch.setattr(neardup, name, value)
         monkeypatch.setattr(neardup.components, "__defaults__", (0,))
     texts = variants(seed, 25 if small else 120)
