@@ -115,27 +115,58 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     return scanned.join(extra, "rid", "left").select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", text.alias("spans"), F.coalesce(F.size("extra"), F.lit(0)).alias("n_linked"))
 
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask: str = "[SECRET]") -> DataFrame:
-    """docs with every strong finding in the text replaced by mask, all other columns as they were.
+#: Texts with linked parts whose spans may be broadcast; copies of these spans that meet the documents otherwise.
+BROADCAST_TEXTS, SALT = 100_000, 16
 
-    n_chars, if there, follows the new text. Overlapping findings are replaced as one."""
+
+def linked_by_text(texts: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(digest, extra): the linked weak parts of each distinct text of (digest, text) that has any."""
+
+    def parts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            out = []
+            for digest, text in zip(b.column("digest").to_pylist(), b.column("text").to_pylist(), strict=True):
+                strong = base_spans(text)
+                weak = weak_parts(text, strong)
+                out += [(digest, *p) for p in (*strong, *weak)] if weak else []
+            cols = [*zip(*out, strict=True)] or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), *[pa.int32()] * 3), strict=True)], ["rid", "start", "kind", "end"])
+
+    found = cut(texts.where("text is not null").mapInArrow(parts, "rid string, start int, kind int, end int").distinct())
+    return linked_parts(found, window).where("kind > 2").groupBy(F.col("rid").alias("digest")).agg(F.collect_list(F.struct("start", "kind", "end")).alias("extra"))
+
+
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask: str = "[SECRET]", window: int = WINDOW) -> DataFrame:
+    """docs with every strong finding and every linked part in the text replaced by mask, all other columns as they were.
+
+    n_chars, if there, follows the new text. Overlapping findings are replaced as one. The parts of equal texts
+    are linked once; their spans go to the documents by broadcast where they are counted to be few, else by salted digest."""
+    kept = docs.schema.names
+    digest = F.md5(F.col(text_col).cast("binary"))
+    extra = cut(linked_by_text(docs.select(digest.alias("digest"), F.col(text_col).alias("text")), window)).withColumnsRenamed({"digest": "__digest", "extra": "__extra"})
+    if extra.count() <= BROADCAST_TEXTS:
+        marked = docs.join(F.broadcast(extra), digest == F.col("__digest"), "left")
+    else:
+        salted = docs.withColumn("__salt", F.pmod(F.xxhash64(id_col), F.lit(SALT)))
+        copies = extra.withColumn("__own", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+        marked = salted.join(copies, (digest == F.col("__digest")) & (F.col("__salt") == F.col("__own")), "left")
 
     def hide(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             texts, sizes = [], []
-            for text in b.column(text_col).to_pylist():
+            for text, linked in zip(b.column(text_col).to_pylist(), b.column("__extra").to_pylist(), strict=True):
                 parts, at = [], 0
-                for s, _, e in base_spans(text or ""):
+                for s, e in sorted([(s, e) for s, _, e in base_spans(text or "")] + [(x["start"], x["end"]) for x in linked or ()]):
                     if s >= at:
                         parts += [text[at:s], mask]
                     at = max(at, e)
                 texts.append("".join(parts) + text[at:] if parts else text)
                 sizes.append(None if text is None else len(texts[-1]))
-            cols = dict(zip(b.schema.names, b.columns, strict=True))
+            cols = {k: b.column(k) for k in kept}
             cols[text_col] = pa.array(texts, pa.string())
             if "n_chars" in cols:
                 cols["n_chars"] = pa.array(sizes, pa.int64()).cast(b.schema.field("n_chars").type)
-            yield pa.RecordBatch.from_arrays(list(cols.values()), b.schema.names)
+            yield pa.RecordBatch.from_arrays(list(cols.values()), kept)
 
     nullable = T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema])
-    return docs.mapInArrow(hide, nullable)
+    return marked.select(*kept, "__extra").mapInArrow(hide, nullable)

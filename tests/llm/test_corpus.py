@@ -76,6 +76,18 @@ def test_redact(spark, awkward):
     masked = secrets.redact(frame(spark, ["my token = abcdef12 here", None, ""]).withColumn("n_chars", F.lit(1).cast("long"))).orderBy("doc_id").collect()
     assert [(r.text, r.n_chars) for r in masked] == [("my [SECRET] here", 16), (None, None), ("", 0)]
     assert secrets.redact(awkward).count() == len(AWKWARD)
+    assert sorted(map(str, secrets.redact(awkward).select("doc_id", "text").collect())) == sorted(map(str, awkward.select("doc_id", "text").collect()))
+
+
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_redact_hides_linked_parts_everywhere(spark, few, monkeypatch):
+    monkeypatch.setattr(secrets, "BROADCAST_TEXTS", few)
+    token = "Zx9" + "aB3dE5" * 5
+    texts = [f"login: alice99 then {token} at the end", f"nothing but {token} here", "login: alice99 and no more"] * 40
+    rows = secrets.redact(frame(spark, texts)).collect()
+    assert len(rows) == len(texts)
+    assert {r.text for r in rows if r.doc_id % 3 == 0} == {"[SECRET] then [SECRET] at the end"}
+    assert all(r.text == texts[r.doc_id] for r in rows if r.doc_id % 3)
 
 
 # -- 2 sharding
