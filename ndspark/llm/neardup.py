@@ -4,10 +4,13 @@
    with equal sets are one class at once, however many they are.
 2. The signature is cut into several orders ("trees"). Classes that share a prefix of an order form a
    region; its depth adapts: where a prefix has more than REGION classes the next longer one is used, and
-   each class is compared with a few leaders of the region. Inside a region, signatures are compared and a spanning
+   each class is compared with a leader of the region. Inside a region, signatures are compared and a spanning
    forest of the likely links is kept: never all pairs.
-3. These links give clusters, which hold all real links but for a chance that the number of trees makes
-   negligible. Each cluster is searched exactly on full sets: from one class to all not reached yet, and so on.
+3. What such a crowded region may have lost is found by prefix filtering: two linked sets share one of the rarest
+   shingles of each, so classes of crowded regions meet by these. Only classes that the forest
+   hasn't joined yet are compared, by signatures; no list of a shingle is cut, long ones are dealt out in blocks.
+4. These links give clusters, which hold all real links but for a chance that the number of trees makes
+   negligible, however crowded a region is. Each cluster is searched exactly on full sets: from one class to all not reached yet, and so on.
    A cluster of more than CLUSTER classes is searched in rounds instead: some classes lead, all members
    are compared with them where they lie, until all outside the largest component have led. Any link
    between components has an end outside the largest, so none is lost.
@@ -31,9 +34,10 @@ from .common import cut, partitions, slices
 
 TREES, DEPTH = 16, 8
 N_HASHES = TREES * DEPTH
-#: Prefixes tried, shortest first; classes that a region compares; leaders of a larger one; classes that
-#: one task searches.
-DEPTHS, REGION, REGION_LEADERS, CLUSTER = (3, 5, 8), 96, 2, 400
+#: Prefixes tried, shortest first; classes that a region compares; classes that one task searches.
+DEPTHS, REGION, CLUSTER = (3, 5, 8), 96, 400
+#: Classes of a block of a long list; classes and shingles that tell which shingles are common (any order would do).
+BLOCK, ORDER_CLASSES, ORDER_SHINGLES = 1024, 2000, 50_000
 #: Classes that lead in one round, and bytes of their sets; ids, and signatures of leaders,
 #: that may be broadcast; links that one task may join.
 LEADERS, LEADER_BYTES, BROADCAST_IDS, BROADCAST_LEADERS, ONE_TASK = 1024, 16_000_000, 500_000, 20_000, 100_000
@@ -137,28 +141,25 @@ def runs(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[list[dict]]:
         yield held
 
 
-def forest_links(classes: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): likely links that hold together whatever the forest finds alike. classes: (node, sig)."""
+def forest_links(classes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(a, b): likely links that hold together whatever the forest finds alike; and (node) of the crowded regions,
+    whose classes haven't all been compared. classes: (node, sig)."""
     least = likely(threshold)
     prefix = lambda depth: F.xxhash64("tree", F.substring("prefix", 1, 2 * depth))
     pending = classes.select("node", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"), "sig")
     pending = pending.select("node", "tree", F.expr(f"substring(sig, tree * {2 * DEPTH} + 1, {2 * DEPTH})").alias("prefix"))
-    regions, to_leader = [], []
+    regions, to_leader, crowded = [], [], None
     for depth in DEPTHS:
         keyed = pending.withColumn("region", prefix(depth))
-        # leaders by a few orders of all nodes, so that the trees' regions share them
-        lead = F.array_distinct(F.array(*[F.min_by("node", F.xxhash64("node", F.lit(k))) for k in range(REGION_LEADERS)]))
-        counts = keyed.groupBy("region").agg(F.count("*").alias("n"), lead.alias("leaders")).where("n > 1")
+        # the leader by one order of all nodes, so that the trees' regions share it
+        counts = keyed.groupBy("region").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64("node")).alias("leader")).where("n > 1")
         found = cut(keyed.join(counts, "region"))
         regions.append(found.where(F.col("n") <= REGION).select("region", "node"))
         pending = cut(found.where(F.col("n") > REGION))
+        crowded = pending.select("node").distinct() if crowded is None else crowded
         if pending.isEmpty():
             break
-        to_leader.append(pending.select("node", F.explode("leaders").alias("leader")).where("node != leader").distinct())
-        pending = pending.select("node", "tree", "prefix", "region", "n")
-        if depth == DEPTHS[-1]:  # alike to the last value: any split will do, the leader holds it together
-            part = F.pmod(F.xxhash64("node", "tree"), F.ceil(F.col("n") / REGION))
-            regions.append(pending.select(F.xxhash64("region", part).alias("region"), "node"))
+        to_leader.append(pending.select("node", "leader").where("node != leader").distinct())
         pending = pending.select("node", "tree", "prefix")
     together = regions[0]
     for r in regions[1:]:
@@ -184,7 +185,87 @@ def forest_links(classes: DataFrame, threshold: float) -> DataFrame:
         few = leads.count() <= BROADCAST_LEADERS  # a leader may have very many followers: no shuffle by it
         both = pairs.join(classes, "node").join(F.broadcast(leads) if few else leads, "leader")
         links = links.unionByName(both.select(F.col("node").alias("a"), F.col("leader").alias("b"), "sig", "lead").mapInArrow(alike, "a long, b long"))
-    return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), crowded
+
+
+def rare_first(hashes: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The set, rarest first. One order for all sets is all that prefix filtering needs; counts only make it fast."""
+    at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+    seen = np.where(common[at] == hashes, counts[at], 0) if len(common) else np.zeros(len(hashes))
+    return hashes[np.lexsort((hashes, seen))]
+
+
+def prefixes(n: int, percent: int) -> tuple[int, int]:
+    """How many of its rarest shingles a set of n shares one of with any larger or equal set that it links with; with any set.
+
+    A link of sizes n <= m has at least percent * m / 100 and 2 * percent * n / (100 + percent) shingles in common."""
+    return n + 1 + -2 * percent * n // (100 + percent), n + 1 + -percent * n // 100
+
+
+def crowded_links(docs: DataFrame, crowded: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """(a, b): likely links of crowded classes (node, sig, rep, cluster) that hold together what is alike and in different clusters."""
+    least = likely(percent / 100)
+
+    def sets_of(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+        words = WordHashes()
+        for b in slices(batches):
+            sets = [shingles(t, size, words) for t in b.column("text").to_pylist()]
+            true = [node_of(s) == k for s, k in zip(sets, b.column("node").to_pylist(), strict=True)]  # a repeated id may have brought other texts
+            yield b.filter(pa.array(true, pa.bool_())), [s for s, t in zip(sets, true, strict=True) if t]
+
+    def listed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, sets in sets_of(batches):
+            if sets:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["shingle"])
+
+    some = crowded.orderBy(F.xxhash64("node"), "node").limit(ORDER_CLASSES).select("cluster", "node", "rep")
+    seen = cluster_texts(docs, some, id_col, text_col).mapInArrow(listed, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
+    order = sorted((r.shingle % 2**64, r.n) for r in seen.orderBy(F.desc("n"), "shingle").limit(ORDER_SHINGLES).collect())
+    common, counts = np.array([x for x, _ in order], np.uint64), np.array([n for _, n in order], np.int64)
+
+    def rarest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, sets in sets_of(batches):
+            own, rest = [], []
+            for s in sets:
+                few, many = prefixes(len(s), percent)
+                first = rare_first(s, common, counts)[:many].view(np.int64)
+                own.append(first[:few].tolist())
+                rest.append(first[few:].tolist())
+            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("cluster"), *(pa.array(x, pa.list_(pa.int64())) for x in (own, rest))], ["node", "cluster", "own", "rest"])
+
+    firsts = cluster_texts(docs, crowded.select("cluster", "node", "rep"), id_col, text_col).mapInArrow(rarest, "node long, cluster long, own array<long>, rest array<long>").dropDuplicates(["node"])
+    rows = cut(firsts.select("node", "cluster", F.explode(F.concat(F.transform("own", lambda x: F.struct(x.alias("shingle"), F.lit(True).alias("own"))), F.transform("rest", lambda x: F.struct(x.alias("shingle"), F.lit(False).alias("own"))))).alias("p")).select("p.shingle", "p.own", "node", "cluster"))
+    # a pair to compare has an end that owns the shingle and an end outside the list's largest cluster: the fewer lead
+    per = rows.groupBy("shingle", "cluster").agg(F.count("*").alias("n"), F.count_if("own").alias("owners"))
+    per = per.groupBy("shingle").agg(F.sum("n").alias("n"), F.sum("owners").alias("owners"), F.max(F.struct("n", "cluster")).alias("top"), F.count("*").alias("clusters")).where("clusters > 1 and owners > 0")
+    parts = lambda n: F.ceil(n / BLOCK).cast("int")
+    outside = F.col("n") - F.col("top.n")
+    lists = cut(per.select("shingle", F.col("top.cluster").alias("largest"), (F.col("owners") <= outside).alias("by_owner"), parts(F.least("owners", outside)).alias("left_parts"), parts(F.col("n")).alias("right_parts")))
+    few = lists.count() <= BROADCAST_IDS
+    met = rows.join(F.broadcast(lists) if few else lists, "shingle").withColumn("leads", F.when(F.col("by_owner"), F.col("own")).otherwise(F.col("cluster") != F.col("largest")))
+    one = (F.col("left_parts") == 1) & (F.col("right_parts") == 1)
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    part = lambda k, n: F.pmod(F.xxhash64("node", F.lit(k)), F.col(n)).cast("int")
+    block = F.xxhash64("shingle", "l", "r").alias("region")
+    short = met.where(one).select(F.col("shingle").alias("region"), "node", "cluster", "leads", F.lit(True).alias("led"))
+    left = met.where(~one & F.col("leads")).select("shingle", "node", "cluster", part(1, "left_parts").alias("l"), each("right_parts").alias("r")).select(block, "node", "cluster", F.lit(True).alias("leads"), F.lit(False).alias("led"))
+    right = met.where(~one).select("shingle", "node", "cluster", each("left_parts").alias("l"), part(2, "right_parts").alias("r")).select(block, "node", "cluster", F.lit(False).alias("leads"), F.lit(True).alias("led"))
+
+    def across(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in runs(batches, "region"):
+            sigs = np.frombuffer(b"".join(r["sig"] for r in rows), np.uint16).reshape(len(rows), -1)
+            of, led = np.array([r["cluster"] for r in rows]), np.array([r["led"] for r in rows])
+            out = []
+            for k in [k for k, r in enumerate(rows) if r["leads"]]:
+                able = np.flatnonzero(led & (of != of[k]))
+                near = able[(sigs[able] == sigs[k]).sum(1) >= least]
+                out += [(rows[k]["node"], rows[j]["node"]) for j in near[np.unique(of[near], return_index=True)[1]]]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([p[e] for p in out], pa.int64()) for e in (0, 1)], ["a", "b"])
+
+    blocks = short.unionByName(left).unionByName(right).join(crowded.select("node", "sig"), "node").repartition("region").sortWithinPartitions("region")
+    found = blocks.mapInArrow(across, "a long, b long")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def joined(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -343,8 +424,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     """(doc_id, n_shingles, component_id, kept) for every row of docs."""
     rows = cut(with_sets(docs, shingle, id_col, text_col))
     classes = cut(rows.where("node is not null and doc_id is not null").groupBy("node", "sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
-    likely_links = forest_links(classes.select("node", "sig"), percent / 100)
+    likely_links, crowded = forest_links(classes.select("node", "sig"), percent / 100)
     clusters = components(likely_links).withColumnRenamed("component", "cluster")
+    if not crowded.isEmpty():
+        clusters = cut(clusters)
+        crowded = cut(classes.select("node", "sig", "rep").join(crowded, "node").join(clusters, "node", "left").withColumn("cluster", F.coalesce("cluster", "node")))
+        more = crowded_links(docs, crowded, shingle, percent, id_col, text_col)
+        held = clusters.select(F.col("node").alias("a"), F.col("cluster").alias("b"))
+        clusters = components(held.unionByName(more)).withColumnRenamed("component", "cluster")
     sized = clusters.join(clusters.groupBy("cluster").agg(F.count("*").alias("n")), "cluster")
     sized = cut(sized.join(classes.select("node", "rep"), "node"))
     links = search_clusters(cluster_texts(docs, sized.where(F.col("n") <= CLUSTER).select("cluster", "node", "rep"), id_col, text_col), shingle, percent)

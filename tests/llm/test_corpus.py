@@ -393,6 +393,37 @@ def test_near_duplicates(spark, seed, size, percent, small, monkeypatch):
     assert got == brute(texts, size, percent)
 
 
+def test_near_duplicates_in_crowded_regions(spark, monkeypatch):
+    """Planted near copies among texts of the same few words: the first region holds all, and nearly nothing else is left to the forest."""
+    for name, value in (("TREES", 2), ("DEPTHS", (0, 8)), ("BLOCK", 64), ("ORDER_CLASSES", 300)):
+        monkeypatch.setattr(neardup, name, value, raising=False)
+    rng = np.random.default_rng(21)
+    picks = (rng.random((1500, 200)) < 0.2).astype(int)
+    copies = picks[:200].copy()
+    copies[:, :8] ^= 1  # 192 of 208 words alike
+    picks = np.concatenate([picks, copies])
+    shared = np.where(picks, 1, -1) @ np.where(picks, 1, -1).T // 2 + 100
+    i, j = np.nonzero(np.triu(100 * shared >= 90 * (400 - shared), 1))
+    root = list(range(len(picks)))
+    for a, b in zip(i.tolist(), j.tolist(), strict=True):
+        x, y = root[a], root[b]
+        root = [min(x, y) if r in (x, y) else r for r in root]
+    docs = frame(spark, [" ".join(f"s{k}o{v}" for k, v in enumerate(row)) for row in picks])
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs, 1, 90).collect()}
+    assert len(i) >= 200 and got == dict(enumerate(root))
+
+
+def test_prefixes_of_linked_sets_meet():
+    rng = random.Random(4)
+    for _ in range(3000):
+        percent, pool = rng.choice([50, 80, 85]), list(range(60))
+        a = set(rng.sample(pool, rng.randint(1, 50)))
+        b = set(rng.sample(sorted(a), rng.randint(max(1, len(a) * 3 // 4), len(a)))) | set(rng.sample(pool, rng.randint(0, 5)))
+        if 100 * len(a & b) >= percent * len(a | b):
+            x, y = sorted((a, b), key=len)
+            assert set(sorted(x)[: neardup.prefixes(len(x), percent)[0]]) & set(sorted(y)[: neardup.prefixes(len(y), percent)[1]])
+
+
 def test_one_large_group(spark):
     rng = random.Random(9)
     base = [f"w{k}" for k in range(120)]
