@@ -30,7 +30,7 @@ HEX = re.compile(r"[0-9a-f]{24,}")  # a maximal run, as the shorter ones fall aw
 NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 ACCOUNT = re.compile(r"""(?ai:user(?:name)?|login|account|client_?id|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@+-]{3,})""")
-MIXED = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,19}[0-9])[A-Za-z0-9+/_=-]{20,}")
+MIXED = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
 ENDPOINT = re.compile(r"https?://[A-Za-z0-9.-]+(?::[0-9]+)?(?:/[^\s\"'<>]*)?|\b[0-9]{1,3}(?:\.[0-9]{1,3}){3}:[0-9]{2,5}\b")
 ACCOUNT_NAMES = ("user", "login", "account", "clientid", "client_id", "accesskey", "access_key")
 

@@ -48,6 +48,14 @@ def plain_spans(text):
     return ",".join(f"{('assign', 'access', 'hex')[k]}:{s}:{e}" for s, k, e in sorted(found))
 
 
+def test_secret_tokens_with_a_late_digit(spark):
+    token = "wJalrXUtnFEMIKMDENGbPxRfiCYEXAMPLEKEY7a9"
+    docs = frame(spark, [f"user: bob {token}"])
+    r = secrets.secrets(docs).first()
+    assert (r.spans, r.n_linked) == ("account:0:9,token:10:50", 2)
+    assert token not in secrets.redact(docs).first().text
+
+
 def test_secrets_against_patterns(spark):
     rng = random.Random(3)
     bits = ["token", "API_KEY", "apikey", "Password", "=", ":", " ", '"', "'", "abc123", "AKIA", "ABCDEFGH1234567890", "deadbeef" * 3, "é", "x.y", "\n", "secret=", "passwd : zzzzzz"]
