@@ -80,18 +80,23 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return (low ^ (low >> np.uint32(16))).astype(np.uint16)
 
 
+def digest_of(text_col: str) -> Column:
+    """Of a text; a null one counts as empty."""
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
 def with_sets(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, n_shingles, node, sig): node names the set (a hash of it), null for the empty one."""
+    """(doc_id, digest, n_shingles, node, sig): digest is of the text, node names the set (a hash of it), null for the empty one."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
         for b in slices(batches):
             sets = [shingles(t, size, words) for t in b.column("text").to_pylist()]
             cols = [pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *cols], ["doc_id", "n_shingles", "node", "sig"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("digest"), *cols], ["doc_id", "digest", "n_shingles", "node", "sig"])
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_shingles long, node long, sig binary")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), digest_of(text_col).alias("digest"))
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, digest long, n_shingles long, node long, sig binary")
 
 
 def node_of(hashes: np.ndarray) -> int:
@@ -422,6 +427,13 @@ def search_large(texts: DataFrame, size: int, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs."""
+    return judged(docs, shingle, percent, id_col, text_col).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def judged(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """The same with the digest of the text and the group: a node of the component, null for the empty set.
+
+    Components may share an id, where it is repeated with different texts; they never share a group."""
     rows = cut(with_sets(docs, shingle, id_col, text_col))
     classes = cut(rows.where("node is not null and doc_id is not null").groupBy("node", "sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
     likely_links, crowded = forest_links(classes.select("node", "sig"), percent / 100)
@@ -440,31 +452,38 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
         links = links.unionByName(search_large(cluster_texts(docs, large, id_col, text_col), shingle, percent))
     joined = components(links).join(classes.select("node", "rep"), "node")
     least = joined.groupBy("component").agg(F.min("rep").alias("first"))
-    first_of = joined.join(least, "component").select("node", "first")
-    named = cut(classes.join(first_of, "node", "left").select("node", "n", F.coalesce("first", "rep").alias("first")))
+    first_of = joined.join(least, "component").select("node", "first", "component")
+    named = cut(classes.join(first_of, "node", "left").select("node", "n", F.coalesce("first", "rep").alias("first"), F.coalesce("component", "node").alias("group")))
     # sets of very many copies: at most 8 * partitions of them, whose rows needn't be shuffled
     many = F.col("n") > rows.count() // (8 * partitions(docs.sparkSession))
-    hot, plain = named.where(many).select("node", "first"), named.where(~many).select("node", "first")
-    alone = rows.where("node is null").select("doc_id", "n_shingles", F.lit(None).cast(named.schema["first"].dataType).alias("first"))
-    some = rows.where("node is not null").select("doc_id", "n_shingles", "node")
+    hot, plain = named.where(many).select("node", "first", "group"), named.where(~many).select("node", "first", "group")
+    alone = rows.where("node is null").select("doc_id", "digest", "n_shingles", F.lit(None).cast(named.schema["first"].dataType).alias("first"), F.lit(None).cast("long").alias("group"))
+    some = rows.where("node is not null").select("doc_id", "digest", "n_shingles", "node")
     copies = some.join(F.broadcast(hot), "node").drop("node")
     others = some.join(F.broadcast(hot.select("node")), "node", "left_anti").join(plain, "node", "left").drop("node")
     result = alone.unionByName(copies).unionByName(others)
     own: Column = F.when(F.col("doc_id").isNotNull(), F.coalesce("first", "doc_id"))
-    return result.select("doc_id", "n_shingles", own.alias("component_id"), (F.col("doc_id").isNull() | (F.col("doc_id") == own)).alias("kept"))
+    return result.select("doc_id", "digest", "group", "n_shingles", own.alias("component_id"), (F.col("doc_id").isNull() | (F.col("doc_id") == own)).alias("kept"))
 
 
 def without_copies(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, all columns, with one row of each group of near duplicates; rows with a null id stay.
 
-    The ids to drop go to the documents: broadcast only where they are counted to be few."""
-    found = cut(near_duplicates(docs, shingle, percent, id_col, text_col))
-    drop = found.where(~F.col("kept")).select(F.col("doc_id").alias("__copy")).distinct()
+    Rows are told by id and text: of one id, texts that aren't alike all stay. The rows to drop go to the documents:
+    broadcast only where they are counted to be few."""
+    found = cut(judged(docs, shingle, percent, id_col, text_col).where("doc_id is not null"))
+    keys = found.groupBy("doc_id", "digest", "group", "kept").agg(F.count("*").alias("n"))
+    # a group's kept rows have one id; of their texts one stays
+    stays = keys.where("kept").groupBy("doc_id", "group").agg(F.min(F.struct("digest", "n")).alias("first"))
+    staying = stays.select("doc_id", "first.digest", "first.n")
+    drop = keys.select("doc_id", "digest").join(staying, ["doc_id", "digest"], "left_anti").select(F.col("doc_id").alias("__copy"), F.col("digest").alias("__text"))
+    drop = cut(drop)
     few = drop.count() <= BROADCAST_IDS
-    rest = docs.join(F.broadcast(drop) if few else drop, docs[id_col] == F.col("__copy"), "left_anti")
-    repeated = found.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("__again"))
+    digest = digest_of(text_col)
+    rest = docs.join(F.broadcast(drop) if few else drop, (docs[id_col] == F.col("__copy")) & (digest == F.col("__text")), "left_anti")
+    repeated = cut(staying.where("n > 1").select(F.col("doc_id").alias("__again"), F.col("digest").alias("__text")))
     if repeated.isEmpty():
         return rest
     again = F.col("__again").isNotNull()
-    marked = rest.join(repeated, rest[id_col] == F.col("__again"), "left")
-    return marked.where(~again).unionByName(marked.where(again).dropDuplicates([id_col])).drop("__again")
+    marked = rest.join(repeated, (rest[id_col] == F.col("__again")) & (digest == F.col("__text")), "left")
+    return marked.where(~again).unionByName(marked.where(again).dropDuplicates([id_col, "__text"])).drop("__again", "__text")

@@ -450,6 +450,13 @@ def test_near_duplicates_awkward(spark, awkward, nothing):
     assert neardup.without_copies(again, 3, 85).count() == 2
 
 
+def test_without_copies_of_repeated_ids(spark):
+    a, b = " ".join(f"a{k}" for k in range(60)), " ".join(f"b{k}" for k in range(60))
+    rows = [(3, a), (5, a), (5, b), (5, b), (7, "c d e"), (7, "f g h"), (8, b + " x"), (9, "i j k"), (9, "I J K"), (6, None), (6, ""), (6, "l m n")]
+    left = sorted((r.doc_id, (r.text or "").lower()) for r in neardup.without_copies(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect())
+    assert left == [(3, a), (5, b), (6, ""), (6, "l m n"), (7, "c d e"), (7, "f g h"), (9, "i j k")]
+
+
 @pytest.mark.parametrize("one_task", [0, 1000])
 def test_components(spark, one_task):
     links = [(k, k + 1) for k in range(0, 60)] + [(100 + k, 100) for k in range(1, 40)] + [(5, 5), (300, 200)]
