@@ -2,18 +2,19 @@
 
 1. Each text becomes the set of its word shingles (64-bit hashes), a digest of it and a signature. Texts
    with equal sets are one class at once, however many they are.
-2. The signature is cut into several orders ("trees"). Classes that share a prefix of an order form a
-   region; its depth adapts: where a prefix has more than REGION classes the next longer one is used, and
-   each class is compared with a leader of the region. Inside a region, signatures are compared and a spanning
-   forest of the likely links is kept: never all pairs.
-3. What such a crowded region may have lost is found by prefix filtering: two linked sets share one of the rarest
-   shingles of each, so classes of crowded regions meet by these. Only classes that the forest
-   hasn't joined yet are compared, by signatures; no list of a shingle is cut, long ones are dealt out in blocks.
-4. These links give clusters, which hold all real links but for a chance that the number of trees makes
-   negligible, however crowded a region is. Each cluster is searched exactly on full sets: from one class to all not reached yet, and so on.
-   A cluster of more than CLUSTER classes is searched in rounds instead: some classes lead, all members
-   are compared with them where they lie, until all outside the largest component have led. Any link
-   between components has an end outside the largest, so none is lost.
+2. The forest: the signature's values, cut into several orders ("trees"). All classes are sorted by each order, in
+   ranges over the cluster, and each is compared with the WINDOW neighbours before it that share a prefix of at least
+   SHORTEST values. These are the neighbours of the longest common prefixes, so that the depth adapts to the
+   region: a sparse one is compared down to SHORTEST values, a crowded one only as deep as its own longest prefixes.
+   Regions go on across the borders of ranges. A spanning forest of the likely links is kept: never all pairs.
+3. These links give clusters, searched exactly on full sets: from one class to all not reached yet, and so on.
+   One of more than CLUSTER classes, or ROOM shingles, is dealt into stretches of three of the sorted orders.
+4. Classes of regions with more neighbours than were compared, and those of large clusters, may have more links. Two linked sets
+   share one of the rarest shingles of each, so these classes meet by these (prefix filtering). What
+   isn't joined yet, and what the signatures don't rule out, is compared on full sets: a class goes once to each small group of
+   classes in which it has met another. No list of a shingle is cut; long ones are dealt out in blocks.
+
+A link is lost only where the forest or a signature misses it: see likely and README.
 
 Null and empty texts and those without words have the empty set and link with nothing. Texts with fewer
 words than a shingle are one shingle. Rows with a null id take no part: their component is null and
@@ -27,6 +28,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,13 +36,13 @@ from .common import cut, partitions, slices
 
 TREES, DEPTH = 16, 8
 N_HASHES = TREES * DEPTH
-#: Prefixes tried, shortest first; classes that a region compares; classes that one task searches.
-DEPTHS, REGION, CLUSTER = (3, 5, 8), 96, 400
-#: Classes of a block of a long list; classes and shingles that tell which shingles are common (any order would do).
-BLOCK, ORDER_CLASSES, ORDER_SHINGLES = 1024, 2000, 50_000
-#: Classes that lead in one round, and bytes of their sets; ids, and signatures of leaders,
-#: that may be broadcast; links that one task may join.
-LEADERS, LEADER_BYTES, BROADCAST_IDS, BROADCAST_LEADERS, ONE_TASK = 1024, 16_000_000, 500_000, 20_000, 100_000
+#: Values of the shortest prefix of a region; neighbours that a class is compared with in an order; classes and
+#: shingles that are searched at once; the sorted orders in which large clusters are searched.
+SHORTEST, WINDOW, CLUSTER, ROOM, SEARCHED = 3, 32, 400, 1_000_000, (0, 5, 10)
+#: Classes of a block of a long list, and of a group whose sets wait in one task; classes and shingles that tell which shingles are common (any order would do).
+BLOCK, GROUP, ORDER_CLASSES, ORDER_SHINGLES = 1024, 128, 2000, 50_000
+#: Ids that may be broadcast; links that one task may join.
+BROADCAST_IDS, ONE_TASK = 500_000, 100_000
 _RNG = np.random.default_rng(8)
 FLIP = _RNG.integers(0, 2**32, N_HASHES, np.uint32)
 SPIN = _RNG.integers(0, 2**31, N_HASHES, np.uint32) * np.uint32(2) + np.uint32(1)
@@ -72,7 +74,7 @@ def shingles(text: str | None, size: int, words: WordHashes) -> np.ndarray:
 
 
 def signature(hashes: np.ndarray) -> np.ndarray:
-    """N_HASHES minima over the set, folded to 16 bits."""
+    """N_HASHES minima over the set, folded to 16 bits. All of a value makes an order, its lower byte suffices to estimate."""
     low, x = np.full(N_HASHES, 2**32 - 1, np.uint32), hashes.astype(np.uint32)
     for at in range(0, len(x), 2048):
         part = (x[at : at + 2048, None] ^ FLIP) * SPIN
@@ -86,17 +88,19 @@ def digest_of(text_col: str) -> Column:
 
 
 def with_sets(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, digest, n_shingles, node, sig): digest is of the text, node names the set (a hash of it), null for the empty one."""
+    """(doc_id, digest, n_shingles, node, sig, orders): digest is of the text, node names the set (a hash of it), null for the empty one."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
         for b in slices(batches):
             sets = [shingles(t, size, words) for t in b.column("text").to_pylist()]
-            cols = [pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("digest"), *cols], ["doc_id", "digest", "n_shingles", "node", "sig"])
+            values = [signature(s) if len(s) else None for s in sets]
+            cols = [pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64())]
+            cols += [pa.array([None if v is None else v.astype(kind).tobytes() for v in values], pa.binary()) for kind in (np.uint8, "<u2")]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("digest"), *cols], ["doc_id", "digest", "n_shingles", "node", "sig", "orders"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), digest_of(text_col).alias("digest"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, digest long, n_shingles long, node long, sig binary")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, digest long, n_shingles long, node long, sig binary, orders binary")
 
 
 def node_of(hashes: np.ndarray) -> int:
@@ -104,33 +108,9 @@ def node_of(hashes: np.ndarray) -> int:
 
 
 def likely(threshold: float) -> int:
-    """Equal signature values below which a link as strong as threshold is practically impossible."""
-    return int(N_HASHES * (threshold - 4.7 * (threshold * (1 - threshold) / N_HASHES) ** 0.5))
-
-
-def spanning(sigs: np.ndarray, least: int) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs with that many equal values, the most alike first."""
-    n = len(sigs)
-    same = np.zeros((n, n), np.int16)
-    for i in range(n - 1):
-        same[i, i + 1 :] = (sigs[i + 1 :] == sigs[i]).sum(1)
-    i, j = np.nonzero(same >= least)
-    root, out = list(range(n)), []
-    for k in np.argsort(-same[i, j], kind="stable"):
-        a, b = int(i[k]), int(j[k])
-        ends = a, b
-        while root[a] != a:
-            root[a] = root[root[a]]
-            a = root[a]
-        while root[b] != b:
-            root[b] = root[root[b]]
-            b = root[b]
-        if a != b:
-            root[max(a, b)] = min(a, b)
-            out.append(ends)
-            if len(out) == n - 1:
-                break
-    return out
+    """Equal bytes of two signatures below which a link as strong as threshold is practically impossible."""
+    p = threshold + (1 - threshold) / 256
+    return int(N_HASHES * (p - 4.7 * (p * (1 - p) / N_HASHES) ** 0.5))
 
 
 def runs(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[list[dict]]:
@@ -146,51 +126,117 @@ def runs(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[list[dict]]:
         yield held
 
 
-def forest_links(classes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """(a, b): likely links that hold together whatever the forest finds alike; and (node) of the crowded regions,
-    whose classes haven't all been compared. classes: (node, sig)."""
-    least = likely(threshold)
-    prefix = lambda depth: F.xxhash64("tree", F.substring("prefix", 1, 2 * depth))
-    pending = classes.select("node", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"), "sig")
-    pending = pending.select("node", "tree", F.expr(f"substring(sig, tree * {2 * DEPTH} + 1, {2 * DEPTH})").alias("prefix"))
-    regions, to_leader, crowded = [], [], None
-    for depth in DEPTHS:
-        keyed = pending.withColumn("region", prefix(depth))
-        # the leader by one order of all nodes, so that the trees' regions share it
-        counts = keyed.groupBy("region").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64("node")).alias("leader")).where("n > 1")
-        found = cut(keyed.join(counts, "region"))
-        regions.append(found.where(F.col("n") <= REGION).select("region", "node"))
-        pending = cut(found.where(F.col("n") > REGION))
-        crowded = pending.select("node").distinct() if crowded is None else crowded
-        if pending.isEmpty():
+def rooted(root: np.ndarray, x: int) -> int:
+    while root[x] != x:
+        root[x] = root[root[x]]
+        x = root[x]
+    return x
+
+
+def near(nodes: np.ndarray, before: np.ndarray, sigs: np.ndarray, least: int, window: int, begin: int = 0) -> np.ndarray:
+    """Links (a, b) that hold together what is alike among rows of a sorted order and the `window` rows before them.
+
+    before: how many rows before a row are in its region. The nearest rows, those of the longest common
+    prefixes, come first, and rows that are together already aren't compared again. Rows under begin only help."""
+    names, label = np.unique(nodes, return_inverse=True)
+    root, out = np.arange(len(names)), []
+    for k in range(1, window + 1):
+        i = np.flatnonzero(before >= k)
+        i = i[i >= begin]
+        if not len(i):
             break
-        to_leader.append(pending.select("node", "leader").where("node != leader").distinct())
-        pending = pending.select("node", "tree", "prefix")
-    together = regions[0]
-    for r in regions[1:]:
-        together = together.unionByName(r)
+        i = i[label[i] != label[i - k]]
+        i = i[(sigs[i] == sigs[i - k]).sum(1) >= least]
+        if len(i):
+            ends = np.unique(np.sort(np.stack([label[i], label[i - k]], 1), 1), axis=0, return_index=True)[1]
+            for j in i[ends].tolist():
+                a, b = rooted(root, int(label[j])), rooted(root, int(label[j - k]))
+                if a != b:
+                    root[max(a, b)] = min(a, b)
+                    out.append((nodes[j], nodes[j - k]))
+            while (root[root] != root).any():
+                root = root[root]
+            label = root[label]
+    return np.array(out, np.int64).reshape(-1, 2)
 
-    def inside(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in runs(batches, "region"):
-            if len(rows) > 1:
-                links = spanning(np.frombuffer(b"".join(r["sig"] for r in rows), np.uint16).reshape(len(rows), -1), least)
-                if links:
-                    yield pa.RecordBatch.from_arrays([pa.array([rows[k[e]]["node"] for k in links], pa.int64()) for e in (0, 1)], ["a", "b"])
 
-    links = together.join(classes, "node").select("region", "node", "sig").repartition("region").sortWithinPartitions("region").mapInArrow(inside, "a long, b long")
-    for pairs in to_leader:
+def as_bytes(col: pa.Array, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(col.to_pylist()), np.uint8).reshape(-1, width)
+
+
+FOUND = "a long, b long, region binary, sig binary, part int, n long"
+
+
+def found(links: np.ndarray, crowded: np.ndarray, border: list[tuple] | None = None) -> pa.RecordBatch:
+    """Rows of FOUND: links (a, b), crowded nodes (a alone) and border rows (with a region)."""
+    n, border = len(links) + len(crowded), border or []
+    cols = [[*links[:, 0].tolist(), *crowded.tolist()], [*links[:, 1].tolist(), *[None] * len(crowded)], *([None] * n for _ in range(4))]
+    for row in border:
+        for c, x in zip(cols, row, strict=True):
+            c.append(x)
+    types = pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int64()
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["a", "b", "region", "sig", "part", "n"])
+
+
+def forest_links(classes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(a, b): likely links that hold together whatever the forest finds alike; and (node) of the crowded regions,
+    whose classes have more neighbours than were compared. classes: (node, sig, orders)."""
+    least, wide = likely(threshold), 1 + 2 * SHORTEST
+    each = classes.select("node", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"), "orders")
+    key = F.expr(f"concat(unhex(lpad(hex(tree), 2, '0')), substring(orders, tree * {2 * DEPTH} + 1, {2 * DEPTH}))")
+    ordered = each.select(key.alias("key"), "node", "sig").repartitionByRange("key", "node").sortWithinPartitions("key", "node")
+
+    def neighbours(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        nodes, sigs, keys = np.zeros(0, np.int64), np.zeros((0, N_HASHES), np.uint8), np.zeros((0, wide), np.uint8)
+        before, first, n_first, opening = np.zeros(0, np.int64), [], 0, True
+        for b in slices(batches, 8192):
+            if not b.num_rows:
+                continue
+            held = len(nodes)
+            nodes = np.concatenate([nodes, b.column("node").to_numpy()])
+            sigs = np.concatenate([sigs, as_bytes(b.column("sig"), N_HASHES)])
+            keys = np.concatenate([keys, as_bytes(b.column("key"), 1 + 2 * DEPTH)[:, :wide]])
+            same = np.concatenate([[False], (keys[1:] == keys[:-1]).all(1)])
+            at = np.arange(len(nodes))
+            starts = np.maximum.accumulate(np.where(same, 0, at))
+            before = np.where(starts > 0, at - starts, at + (before[0] if held else 0))
+            if opening:  # the region that the partition begins with
+                own = np.flatnonzero(starts[held:] == 0) + held
+                first += [(keys[k].tobytes(), int(nodes[k]), sigs[k].tobytes()) for k in own[: max(0, WINDOW + 1 - len(first))]]
+                n_first += len(own)
+                opening = len(own) == b.num_rows
+            full = np.flatnonzero(before > WINDOW)
+            whole = np.unique(np.concatenate([full, *(full[before[full] == WINDOW + 1] - k for k in range(1, WINDOW + 2))]))
+            yield found(near(nodes, np.minimum(before, at), sigs, least, WINDOW, held), np.unique(nodes[whole[whole >= 0]]))
+            rest = max(0, len(nodes) - WINDOW - 1)
+            nodes, sigs, keys, before = nodes[rest:], sigs[rest:], keys[rest:], before[rest:]
+        if len(nodes):
+            n_last = int(before[-1]) + 1
+            last = [(keys[k].tobytes(), int(nodes[k]), sigs[k].tobytes()) for k in range(max(0, len(nodes) - n_last), len(nodes))]
+            if keys[-1].tobytes() == first[0][0]:
+                last = last[max(0, len(last) + len(first) - n_first) :]  # the same region: each row once
+            rows = [(x, n_first) for x in first] + [(x, n_last) for x in last]
+            none = np.zeros((0, 2), np.int64)
+            yield found(none, none[:, 0], [(node, None, region, sig, part, n) for (region, node, sig), n in rows])
+
+    result = cut(ordered.mapInArrow(neighbours, FOUND))
 
-        def alike(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in slices(batches, 4096):
-                if b.num_rows:
-                    x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint16).reshape(b.num_rows, -1) for k in ("sig", "lead"))
-                    yield b.select(["a", "b"]).filter(pa.array((x == y).sum(1) >= least))
+    def across(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in runs(batches, "region"):
+            parts = {r["part"]: r["n"] for r in rows}
+            if len(parts) > 1:
+                nodes = np.array([r["a"] for r in rows], np.int64)
+                sigs = np.frombuffer(b"".join(r["sig"] for r in rows), np.uint8).reshape(len(rows), -1)
+                links = near(nodes, np.arange(len(rows)), sigs, least, WINDOW)
+                yield found(links, nodes if sum(parts.values()) > WINDOW + 1 else nodes[:0])
 
-        leads = cut(classes.select(F.col("node").alias("leader"), F.col("sig").alias("lead")).join(pairs.select("leader").distinct(), "leader"))
-        few = leads.count() <= BROADCAST_LEADERS  # a leader may have very many followers: no shuffle by it
-        both = pairs.join(classes, "node").join(F.broadcast(leads) if few else leads, "leader")
-        links = links.unionByName(both.select(F.col("node").alias("a"), F.col("leader").alias("b"), "sig", "lead").mapInArrow(alike, "a long, b long"))
-    return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), crowded
+    # a region goes on in the next partition; at most 2 * (WINDOW + 1) rows of each partition stand at its borders
+    border = result.where("region is not null").withColumn("place", F.monotonically_increasing_id())
+    beyond = cut(border.repartition("region").sortWithinPartitions("region", "place").mapInArrow(across, FOUND))
+    both = result.where("region is null").unionByName(beyond)
+    links = both.where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return links, both.where("b is null").select(F.col("a").alias("node")).distinct()
 
 
 def rare_first(hashes: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -207,38 +253,85 @@ def prefixes(n: int, percent: int) -> tuple[int, int]:
     return n + 1 + -2 * percent * n // (100 + percent), n + 1 + -percent * n // 100
 
 
-def crowded_links(docs: DataFrame, crowded: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """(a, b): likely links of crowded classes (node, sig, rep, cluster) that hold together what is alike and in different clusters."""
-    least = likely(percent / 100)
+def full_sets(docs: DataFrame, classes: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
+    """classes (node, rep, more columns) with the set as bytes."""
+    names = [k for k in classes.columns if k != "rep"]
 
-    def sets_of(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
         for b in slices(batches):
             sets = [shingles(t, size, words) for t in b.column("text").to_pylist()]
-            true = [node_of(s) == k for s, k in zip(sets, b.column("node").to_pylist(), strict=True)]  # a repeated id may have brought other texts
-            yield b.filter(pa.array(true, pa.bool_())), [s for s, t in zip(sets, true, strict=True) if t]
+            true = [node_of(s) == k if len(s) else False for s, k in zip(sets, b.column("node").to_pylist(), strict=True)]  # a repeated id may have brought other texts
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in names), pa.array([s.tobytes() for s in sets], pa.binary())], [*names, "set"]).filter(pa.array(true, pa.bool_()))
+
+    few = classes.count() <= BROADCAST_IDS
+    texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text"))
+    rows = texts.join(F.broadcast(classes) if few else classes, "rep").select(*names, "text")
+    schema = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in names)
+    return rows.mapInArrow(run, f"{schema}, set binary").dropDuplicates(["node"])
+
+
+def as_set(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, np.uint64)
+
+
+def stretches(batches: Iterable[pa.RecordBatch], most: int, most_room: int) -> Iterator[list[dict]]:
+    """Neighbouring rows of one cluster, as many as are searched at once."""
+    held: list[dict] = []
+    room = 0
+    for b in slices(batches, 64):
+        for row in b.to_pylist():
+            size = len(row["set"]) // 8
+            if held and (held[0]["cluster"] != row["cluster"] or len(held) == most or room + size > most_room):
+                yield held
+                held, room = [], 0
+            held.append(row)
+            room += size
+    if held:
+        yield held
+
+
+def search_stretches(members: DataFrame, tree: int, percent: int) -> DataFrame:
+    """(a, b) links of large clusters, searched in stretches of one sorted order. members: (cluster, node, orders, set)."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in stretches(batches, CLUSTER, ROOM):
+            label = searched([as_set(r["set"]) for r in rows], percent)
+            pairs = [(rows[k]["node"], rows[j]["node"]) for j, k in enumerate(label) if k != j]
+            if pairs:
+                yield pa.RecordBatch.from_arrays([pa.array([p[e] for p in pairs], pa.int64()) for e in (0, 1)], ["a", "b"])
+
+    key = F.expr(f"substring(orders, {tree * 2 * DEPTH + 1}, {2 * DEPTH})").alias("key")
+    dealt = members.select("cluster", key, "node", "set").repartitionByRange("cluster", "key", "node")
+    return dealt.sortWithinPartitions("cluster", "key", "node").mapInArrow(run, "a long, b long")
+
+
+def rare_meetings(members: DataFrame, percent: int) -> DataFrame:
+    """(node, group): a member and a group where another, of a different cluster, shares one of the rarest shingles of
+    each and isn't ruled out by the signatures. members: (node, cluster, sig, group, set)."""
+    least = likely(percent / 100)
 
     def listed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, sets in sets_of(batches):
-            if sets:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["shingle"])
+        for b in slices(batches):
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array(as_set(b"".join(b.column("set").to_pylist())).view(np.int64))], ["shingle"])
 
-    some = crowded.orderBy(F.xxhash64("node"), "node").limit(ORDER_CLASSES).select("cluster", "node", "rep")
-    seen = cluster_texts(docs, some, id_col, text_col).mapInArrow(listed, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
+    some = members.orderBy(F.xxhash64("node"), "node").limit(ORDER_CLASSES).select("set")
+    seen = some.mapInArrow(listed, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
     order = sorted((r.shingle % 2**64, r.n) for r in seen.orderBy(F.desc("n"), "shingle").limit(ORDER_SHINGLES).collect())
     common, counts = np.array([x for x, _ in order], np.uint64), np.array([n for _, n in order], np.int64)
 
     def rarest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, sets in sets_of(batches):
+        for b in slices(batches):
             own, rest = [], []
-            for s in sets:
+            for s in map(as_set, b.column("set").to_pylist()):
                 few, many = prefixes(len(s), percent)
                 first = rare_first(s, common, counts)[:many].view(np.int64)
                 own.append(first[:few].tolist())
                 rest.append(first[few:].tolist())
             yield pa.RecordBatch.from_arrays([b.column("node"), b.column("cluster"), *(pa.array(x, pa.list_(pa.int64())) for x in (own, rest))], ["node", "cluster", "own", "rest"])
 
-    firsts = cluster_texts(docs, crowded.select("cluster", "node", "rep"), id_col, text_col).mapInArrow(rarest, "node long, cluster long, own array<long>, rest array<long>").dropDuplicates(["node"])
+    firsts = members.select("node", "cluster", "set").mapInArrow(rarest, "node long, cluster long, own array<long>, rest array<long>")
     rows = cut(firsts.select("node", "cluster", F.explode(F.concat(F.transform("own", lambda x: F.struct(x.alias("shingle"), F.lit(True).alias("own"))), F.transform("rest", lambda x: F.struct(x.alias("shingle"), F.lit(False).alias("own"))))).alias("p")).select("p.shingle", "p.own", "node", "cluster"))
     # a pair to compare has an end that owns the shingle and an end outside the list's largest cluster: the fewer lead
     per = rows.groupBy("shingle", "cluster").agg(F.count("*").alias("n"), F.count_if("own").alias("owners"))
@@ -256,21 +349,51 @@ def crowded_links(docs: DataFrame, crowded: DataFrame, size: int, percent: int,
     left = met.where(~one & F.col("leads")).select("shingle", "node", "cluster", part(1, "left_parts").alias("l"), each("right_parts").alias("r")).select(block, "node", "cluster", F.lit(True).alias("leads"), F.lit(False).alias("led"))
     right = met.where(~one).select("shingle", "node", "cluster", each("left_parts").alias("l"), part(2, "right_parts").alias("r")).select(block, "node", "cluster", F.lit(False).alias("leads"), F.lit(True).alias("led"))
 
-    def across(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def alike(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in runs(batches, "region"):
-            sigs = np.frombuffer(b"".join(r["sig"] for r in rows), np.uint16).reshape(len(rows), -1)
-            of, led = np.array([r["cluster"] for r in rows]), np.array([r["led"] for r in rows])
-            out = []
+            sigs = np.frombuffer(b"".join(r["sig"] for r in rows), np.uint8).reshape(len(rows), -1)
+            of, led, group = (np.array([r[k] for r in rows]) for k in ("cluster", "led", "group"))
+            out: list[tuple[int, int]] = []
             for k in [k for k, r in enumerate(rows) if r["leads"]]:
                 able = np.flatnonzero(led & (of != of[k]))
-                near = able[(sigs[able] == sigs[k]).sum(1) >= least]
-                out += [(rows[k]["node"], rows[j]["node"]) for j in near[np.unique(of[near], return_index=True)[1]]]
+                out += [(rows[k]["node"], g) for g in np.unique(group[able[(sigs[able] == sigs[k]).sum(1) >= least]]).tolist()]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([p[e] for p in out], pa.int64()) for e in (0, 1)], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int32())], ["node", "group"])
+
+    blocks = short.unionByName(left).unionByName(right).join(members.select("node", "sig", "group"), "node").repartition("region").sortWithinPartitions("region")
+    return blocks.mapInArrow(alike, "node long, group int").distinct()
 
-    blocks = short.unionByName(left).unionByName(right).join(crowded.select("node", "sig"), "node").repartition("region").sortWithinPartitions("region")
-    found = blocks.mapInArrow(across, "a long, b long")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+def confirmed(meetings: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links of different clusters, by the full sets of members (node, cluster, sig, group, set). A group's sets wait in one task
+    for those of meetings (node, group), each of which is compared with all in the group that its signature doesn't rule out."""
+    least = likely(percent / 100)
+    guests = cut(meetings).join(members.drop("group"), "node").withColumn("guest", F.lit(True))
+    rows = members.withColumn("guest", F.lit(False)).unionByName(guests)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+        for b in slices(batches, 64):
+            links: list[tuple[int, int]] = []
+            for r in b.to_pylist():
+                if r["group"] != at:
+                    at, held, sigs = r["group"], [], None
+                if not r["guest"]:
+                    held.append(r)
+                    continue
+                if sigs is None:
+                    sigs = np.frombuffer(b"".join(x["sig"] for x in held), np.uint8).reshape(len(held), -1)
+                    of, sizes = np.array([x["cluster"] for x in held]), np.array([len(x["set"]) for x in held])
+                n = len(r["set"])
+                able = (of != r["cluster"]) & ((sigs == np.frombuffer(r["sig"], np.uint8)).sum(1) >= least) & (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n))
+                able = np.flatnonzero(able)
+                if len(able):
+                    able = able[Linked([as_set(held[k]["set"]) for k in able], percent).to(as_set(r["set"]))]
+                    links += [(r["node"], held[k]["node"]) for k in able[np.unique(of[able], return_index=True)[1]]]  # one a cluster joins them
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array([p[e] for p in links], pa.int64()) for e in (0, 1)], ["a", "b"])
+
+    return rows.repartition("group").sortWithinPartitions("group", "guest").mapInArrow(run, "a long, b long")
 
 
 def joined(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -375,56 +498,6 @@ def search_clusters(texts: DataFrame, size: int, percent: int) -> DataFrame:
     return texts.repartition("cluster").sortWithinPartitions("cluster", "node").mapInArrow(run, "a long, b long")
 
 
-def search_large(texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The same for clusters of any size: members stay dealt out, LEADERS sets a round go to them."""
-
-    def to_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHashes()
-        for b in slices(batches):
-            sets = [shingles(t, size, words) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("cluster"), b.column("node"), pa.array([s.tobytes() for s in sets], pa.binary())], ["cluster", "node", "set"]).filter(pa.array([node_of(s) == k for s, k in zip(sets, b.column("node").to_pylist(), strict=True)]))
-
-    members = cut(texts.mapInArrow(to_sets, "cluster long, node long, set binary").repartition("node").dropDuplicates(["node"]))
-    state = cut(members.select("cluster", "node", F.col("node").alias("component"), F.lit(False).alias("led"), F.octet_length("set").alias("bytes")))
-    links = None
-    while True:
-        sizes = state.groupBy("cluster", "component").agg(F.count("*").alias("n"))
-        largest = sizes.groupBy("cluster").agg(F.max(F.struct("n", "component")).alias("top")).select("cluster", F.col("top.component").alias("largest"))
-        waiting = state.where(~F.col("led")).join(largest, "cluster").where("component != largest")
-        next_ones = waiting.select("node", "bytes").orderBy(F.xxhash64("node"), "node").limit(LEADERS).collect()
-        if not next_ones:
-            return links
-        room = np.cumsum([r.bytes for r in next_ones]) <= LEADER_BYTES
-        lead = [r.node for k, r in enumerate(next_ones) if k == 0 or room[k]]
-        leaders = [(r.cluster, r.node, np.frombuffer(bytes(r.set), np.uint64)) for r in members.where(F.col("node").isin(lead)).orderBy("node").collect()]
-        by_cluster: dict[int, tuple[list[int], Linked]] = {}
-        pairs: list[tuple[int, int]] = []
-        for c in {x[0] for x in leaders}:
-            own = [x for x in leaders if x[0] == c]
-            label = searched([s for _, _, s in own], percent)
-            pairs += [(own[k][1], own[j][1]) for j, k in enumerate(label) if k != j]
-            by_cluster[c] = [own[k][1] for k in label], Linked([s for _, _, s in own], percent)
-
-        def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in slices(batches):
-                out: list[tuple[int, int]] = []
-                for c, node, raw in zip(b.column("cluster").to_pylist(), b.column("node").to_pylist(), b.column("set").to_pylist(), strict=True):
-                    if c in by_cluster:
-                        names, linked = by_cluster[c]
-                        out += [(node, k) for k in {names[j] for j in np.flatnonzero(linked.to(np.frombuffer(raw, np.uint64)))} if k != node]
-                yield pa.RecordBatch.from_arrays([pa.array([p[e] for p in out], pa.int64()) for e in (0, 1)], ["a", "b"])
-
-        new = members.mapInArrow(compare, "a long, b long")
-        if pairs:
-            new = new.unionByName(members.sparkSession.createDataFrame(pairs, "a long, b long"))
-        new = cut(new)
-        links = new if links is None else links.unionByName(new)
-        of = state.select(F.col("node").alias("a"), F.col("component").alias("x"))
-        above = new.join(of, "a").join(of.withColumnsRenamed({"a": "b", "x": "y"}), "b").where("x != y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
-        merged = components(above).select(F.col("node").alias("component"), F.col("component").alias("into"))
-        state = cut(state.join(merged, "component", "left").select("cluster", "node", F.coalesce("into", "component").alias("component"), (F.col("led") | F.col("node").isin(lead)).alias("led"), "bytes"))
-
-
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs."""
     return judged(docs, shingle, percent, id_col, text_col).select("doc_id", "n_shingles", "component_id", "kept")
@@ -435,21 +508,24 @@ def judged(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col: s
 
     Components may share an id, where it is repeated with different texts; they never share a group."""
     rows = cut(with_sets(docs, shingle, id_col, text_col))
-    classes = cut(rows.where("node is not null and doc_id is not null").groupBy("node", "sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
-    likely_links, crowded = forest_links(classes.select("node", "sig"), percent / 100)
-    clusters = components(likely_links).withColumnRenamed("component", "cluster")
-    if not crowded.isEmpty():
-        clusters = cut(clusters)
-        crowded = cut(classes.select("node", "sig", "rep").join(crowded, "node").join(clusters, "node", "left").withColumn("cluster", F.coalesce("cluster", "node")))
-        more = crowded_links(docs, crowded, shingle, percent, id_col, text_col)
-        held = clusters.select(F.col("node").alias("a"), F.col("cluster").alias("b"))
-        clusters = components(held.unionByName(more)).withColumnRenamed("component", "cluster")
-    sized = clusters.join(clusters.groupBy("cluster").agg(F.count("*").alias("n")), "cluster")
-    sized = cut(sized.join(classes.select("node", "rep"), "node"))
-    links = search_clusters(cluster_texts(docs, sized.where(F.col("n") <= CLUSTER).select("cluster", "node", "rep"), id_col, text_col), shingle, percent)
-    large = sized.where(F.col("n") > CLUSTER).select("cluster", "node", "rep")
-    if not large.isEmpty():
-        links = links.unionByName(search_large(cluster_texts(docs, large, id_col, text_col), shingle, percent))
+    classes = cut(rows.where("node is not null and doc_id is not null").groupBy("node", "sig", "orders", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
+    likely_links, crowded = forest_links(classes.select("node", "sig", "orders"), percent / 100)
+    clusters = cut(components(likely_links).withColumnRenamed("component", "cluster").join(classes.select("node", "rep", "n_shingles"), "node"))
+    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("members"), F.sum("n_shingles").alias("room"))
+    sized = cut(clusters.join(sizes, "cluster").select("cluster", "node", "rep", ((F.col("members") > CLUSTER) | (F.col("room") > ROOM)).alias("large")))
+    links = cut(search_clusters(cluster_texts(docs, sized.where("not large").select("cluster", "node", "rep"), id_col, text_col), shingle, percent))
+    large = sized.where("large").select("node", "cluster")
+    open_ = crowded.join(large, "node", "full_outer").join(classes.select("node", "rep", "sig", "orders"), "node")
+    if not open_.isEmpty():
+        members = cut(full_sets(docs, open_.select("node", "rep", "sig", "orders", "cluster"), shingle, id_col, text_col))
+        inside = members.where("cluster is not null")
+        for tree in SEARCHED:
+            links = links.unionByName(search_stretches(inside, tree, percent))
+        links = cut(links)
+        so_far = components(links).withColumnRenamed("component", "cluster")
+        group = F.pmod(F.xxhash64("node"), F.lit(1 + members.count() // GROUP)).cast("int").alias("group")
+        grouped = cut(members.drop("cluster").join(so_far, "node", "left").select("node", F.coalesce("cluster", "node").alias("cluster"), "sig", group, "set"))
+        links = links.unionByName(confirmed(rare_meetings(grouped, percent), grouped, percent))
     joined = components(links).join(classes.select("node", "rep"), "node")
     least = joined.groupBy("component").agg(F.min("rep").alias("first"))
     first_of = joined.join(least, "component").select("node", "first", "component")

@@ -393,7 +393,7 @@ def variants(seed, n):
 @pytest.mark.parametrize(("seed", "size", "percent", "small"), [(1, 3, 85, False), (2, 5, 80, False), (3, 3, 85, True)])
 def test_near_duplicates(spark, seed, size, percent, small, monkeypatch):
     if small:  # large regions, large clusters and distributed rounds, on few rows
-        for name, value in (("REGION", 3), ("CLUSTER", 3), ("LEADERS", 2), ("BROADCAST_IDS", 0), ("BROADCAST_LEADERS", 0)):
+        for name, value in (("WINDOW", 1), ("CLUSTER", 3), ("ROOM", 400), ("GROUP", 4), ("BROADCAST_IDS", 0)):
             monkeypatch.setattr(neardup, name, value)
         monkeypatch.setattr(neardup.components, "__defaults__", (0,))
     texts = variants(seed, 25 if small else 120)
@@ -403,7 +403,7 @@ def test_near_duplicates(spark, seed, size, percent, small, monkeypatch):
 
 def test_near_duplicates_in_crowded_regions(spark, monkeypatch):
     """Planted near copies among texts of the same few words: the first region holds all, and nearly nothing else is left to the forest."""
-    for name, value in (("TREES", 2), ("DEPTHS", (0, 8)), ("BLOCK", 64), ("ORDER_CLASSES", 300)):
+    for name, value in (("TREES", 2), ("SHORTEST", 0), ("WINDOW", 3), ("BLOCK", 64), ("ORDER_CLASSES", 300), ("SEARCHED", (0,))):
         monkeypatch.setattr(neardup, name, value, raising=False)
     rng = np.random.default_rng(21)
     picks = (rng.random((1500, 200)) < 0.2).astype(int)
@@ -421,6 +421,57 @@ def test_near_duplicates_in_crowded_regions(spark, monkeypatch):
     assert len(i) >= 200 and got == dict(enumerate(root))
 
 
+def test_neighbours_across_ranges(spark):
+    """However the sorted orders are dealt into ranges, the same regions are seen whole: 40 rows alike, then single ones."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**16, neardup.N_HASHES)
+    rows = []
+    for k in range(400):
+        own = rng.integers(0, 2**16, neardup.N_HASHES)
+        values = np.where(rng.random(neardup.N_HASHES) < 0.95, base, own) if k < 40 else own
+        rows.append((k, bytearray(values.astype(np.uint8).tobytes()), bytearray(values.astype("<u2").tobytes())))
+    classes = spark.createDataFrame(rows, "node long, sig binary, orders binary")
+    seen = set()
+    for parts in (1, 3, 40):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+        try:
+            links, crowded = neardup.forest_links(classes, 0.85)
+            root = {r.node: r.component for r in neardup.components(links).collect()}
+            seen.add((frozenset(root.items()), frozenset(r.node for r in crowded.collect())))
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", 4)
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    (root, crowded), *others = seen
+    assert not others and dict(root) == {k: 0 for k in range(40)} and crowded <= set(range(40))
+
+
+def test_near_copies_in_a_dense_table(spark):
+    """Pairs of likeness 0.86 among 3000 texts that share 60 % of their shingles with all others: none is lost."""
+    rng = random.Random(5)
+    shared, texts = [f"s{k}" for k in range(150)], []
+    for k in range(1500):
+        own = [f"w{rng.randrange(10**9)}" for _ in range(50)]
+        other = own[:35] + [f"w{rng.randrange(10**9)}" for _ in range(15)]
+        texts += [(2 * k, " ".join(shared + own)), (2 * k + 1, " ".join(shared + other))]
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), 3, 85).collect()}
+    assert got == {k: k // 2 * 2 for k in range(3000)}
+
+
+def test_recall_of_the_forest(spark):
+    """At the real constants: 2000 pairs just over the threshold, of sets of 40 to 400 shingles, in a sparse table."""
+    rng, texts = random.Random(6), []
+    for k in range(2000):
+        n = rng.randrange(40, 400)
+        words = [f"w{rng.randrange(10**9)}" for _ in range(n)]
+        cut = n - n * 15 // 215 - 1
+        texts += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[:cut] + [f"v{rng.randrange(10**9)}" for _ in range(n - cut)]))]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs, 1, 85).collect()}
+    linked = [k for k in range(0, 4000, 2) if 100 * len(set(texts[k][1].split()) & set(texts[k + 1][1].split())) >= 85 * len(set(texts[k][1].split()) | set(texts[k + 1][1].split()))]
+    assert len(linked) > 1000 and all(got[k + 1] == k for k in linked)
+
+
 def test_prefixes_of_linked_sets_meet():
     rng = random.Random(4)
     for _ in range(3000):
