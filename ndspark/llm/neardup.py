@@ -10,9 +10,9 @@
 3. These links give clusters, searched exactly on full sets: from one class to all not reached yet, and so on.
    One of more than CLUSTER classes, or ROOM shingles, is dealt into stretches of three of the sorted orders.
 4. Classes of regions with more neighbours than were compared, and those of large clusters, may have more links. Two linked sets
-   share one of the rarest shingles of each, so these classes meet by these (prefix filtering). What
-   isn't joined yet, and what the signatures don't rule out, is compared on full sets: a class goes once to each small group of
-   classes in which it has met another. No list of a shingle is cut; long ones are dealt out in blocks.
+   share one of the rarest shingles of each, so these classes meet by these (prefix filtering): a class goes once to each
+   small group of classes where another has one of them, and what isn't joined yet and isn't ruled out by the signatures is
+   compared on full sets. No list of a shingle is cut.
 
 A link is lost only where the forest or a signature misses it: see likely and README.
 
@@ -23,7 +23,7 @@ they are kept. Repeated rows share a class. Very long texts are read whole.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +39,8 @@ N_HASHES = TREES * DEPTH
 #: Values of the shortest prefix of a region; neighbours that a class is compared with in an order; classes and
 #: shingles that are searched at once; the sorted orders in which large clusters are searched.
 SHORTEST, WINDOW, CLUSTER, ROOM, SEARCHED = 3, 32, 400, 1_000_000, (0, 5, 10)
-#: Classes of a block of a long list, and of a group whose sets wait in one task; classes and shingles that tell which shingles are common (any order would do).
-BLOCK, GROUP, ORDER_CLASSES, ORDER_SHINGLES = 1024, 128, 2000, 50_000
+#: Classes of a group whose sets wait in one task, groups in an array; classes and shingles that tell which shingles are common (any order would do).
+GROUP, PARTS, ORDER_CLASSES, ORDER_SHINGLES = 128, 1024, 2000, 50_000
 #: Ids that may be broadcast; links that one task may join.
 BROADCAST_IDS, ONE_TASK = 500_000, 100_000
 _RNG = np.random.default_rng(8)
@@ -308,8 +308,7 @@ def search_stretches(members: DataFrame, tree: int, percent: int) -> DataFrame:
 
 def rare_meetings(members: DataFrame, percent: int) -> DataFrame:
     """(node, group): a member and a group where another, of a different cluster, shares one of the rarest shingles of
-    each and isn't ruled out by the signatures. members: (node, cluster, sig, group, set)."""
-    least = likely(percent / 100)
+    each. members: (node, cluster, group, set). A leader meets the groups of a shingle, not their members one by one."""
 
     def listed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -329,52 +328,35 @@ def rare_meetings(members: DataFrame, percent: int) -> DataFrame:
                 first = rare_first(s, common, counts)[:many].view(np.int64)
                 own.append(first[:few].tolist())
                 rest.append(first[few:].tolist())
-            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("cluster"), *(pa.array(x, pa.list_(pa.int64())) for x in (own, rest))], ["node", "cluster", "own", "rest"])
+            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("cluster"), b.column("group"), *(pa.array(x, pa.list_(pa.int64())) for x in (own, rest))], ["node", "cluster", "group", "own", "rest"])
 
-    firsts = members.select("node", "cluster", "set").mapInArrow(rarest, "node long, cluster long, own array<long>, rest array<long>")
-    rows = cut(firsts.select("node", "cluster", F.explode(F.concat(F.transform("own", lambda x: F.struct(x.alias("shingle"), F.lit(True).alias("own"))), F.transform("rest", lambda x: F.struct(x.alias("shingle"), F.lit(False).alias("own"))))).alias("p")).select("p.shingle", "p.own", "node", "cluster"))
+    firsts = members.select("node", "cluster", "group", "set").mapInArrow(rarest, "node long, cluster long, group int, own array<long>, rest array<long>")
+    marked = lambda k, own: F.transform(k, lambda x: F.struct(x.alias("shingle"), F.lit(own).alias("own")))
+    rows = cut(firsts.select("node", "cluster", "group", F.explode(F.concat(marked("own", True), marked("rest", False))).alias("p")).select("p.shingle", "p.own", "node", "cluster", "group"))
     # a pair to compare has an end that owns the shingle and an end outside the list's largest cluster: the fewer lead
     per = rows.groupBy("shingle", "cluster").agg(F.count("*").alias("n"), F.count_if("own").alias("owners"))
     per = per.groupBy("shingle").agg(F.sum("n").alias("n"), F.sum("owners").alias("owners"), F.max(F.struct("n", "cluster")).alias("top"), F.count("*").alias("clusters")).where("clusters > 1 and owners > 0")
-    parts = lambda n: F.ceil(n / BLOCK).cast("int")
-    outside = F.col("n") - F.col("top.n")
-    lists = cut(per.select("shingle", F.col("top.cluster").alias("largest"), (F.col("owners") <= outside).alias("by_owner"), parts(F.least("owners", outside)).alias("left_parts"), parts(F.col("n")).alias("right_parts")))
+    lists = cut(per.select("shingle", F.col("top.cluster").alias("largest"), (F.col("owners") <= F.col("n") - F.col("top.n")).alias("by_owner")))
     few = lists.count() <= BROADCAST_IDS
-    met = rows.join(F.broadcast(lists) if few else lists, "shingle").withColumn("leads", F.when(F.col("by_owner"), F.col("own")).otherwise(F.col("cluster") != F.col("largest")))
-    one = (F.col("left_parts") == 1) & (F.col("right_parts") == 1)
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    part = lambda k, n: F.pmod(F.xxhash64("node", F.lit(k)), F.col(n)).cast("int")
-    block = F.xxhash64("shingle", "l", "r").alias("region")
-    short = met.where(one).select(F.col("shingle").alias("region"), "node", "cluster", "leads", F.lit(True).alias("led"))
-    left = met.where(~one & F.col("leads")).select("shingle", "node", "cluster", part(1, "left_parts").alias("l"), each("right_parts").alias("r")).select(block, "node", "cluster", F.lit(True).alias("leads"), F.lit(False).alias("led"))
-    right = met.where(~one).select("shingle", "node", "cluster", each("left_parts").alias("l"), part(2, "right_parts").alias("r")).select(block, "node", "cluster", F.lit(False).alias("leads"), F.lit(True).alias("led"))
-
-    def alike(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in runs(batches, "region"):
-            sigs = np.frombuffer(b"".join(r["sig"] for r in rows), np.uint8).reshape(len(rows), -1)
-            of, led, group = (np.array([r[k] for r in rows]) for k in ("cluster", "led", "group"))
-            out: list[tuple[int, int]] = []
-            for k in [k for k, r in enumerate(rows) if r["leads"]]:
-                able = np.flatnonzero(led & (of != of[k]))
-                out += [(rows[k]["node"], g) for g in np.unique(group[able[(sigs[able] == sigs[k]).sum(1) >= least]]).tolist()]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int32())], ["node", "group"])
+    shared = rows.join(F.broadcast(lists) if few else lists, "shingle")
+    leads = F.when(F.col("by_owner"), F.col("own")).otherwise(F.col("cluster") != F.col("largest"))
+    part = F.floor(F.col("group") / PARTS).cast("int").alias("part")  # bounds the arrays
+    of_list = shared.groupBy("shingle", part).agg(F.collect_set("group").alias("groups"))
+    of_node = shared.where(leads).select("shingle", "node").join(of_list, "shingle").groupBy("node", "part").agg(F.array_distinct(F.flatten(F.collect_list("groups"))).alias("groups"))
+    return of_node.select("node", F.explode("groups").alias("group"))
 
-    blocks = short.unionByName(left).unionByName(right).join(members.select("node", "sig", "group"), "node").repartition("region").sortWithinPartitions("region")
-    return blocks.mapInArrow(alike, "node long, group int").distinct()
 
-
-def confirmed(meetings: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links of different clusters, by the full sets of members (node, cluster, sig, group, set). A group's sets wait in one task
-    for those of meetings (node, group), each of which is compared with all in the group that its signature doesn't rule out."""
-    least = likely(percent / 100)
-    guests = cut(meetings).join(members.drop("group"), "node").withColumn("guest", F.lit(True))
-    rows = members.withColumn("guest", F.lit(False)).unionByName(guests)
+def hosted(meetings: DataFrame, members: DataFrame, more: list[str], look: Callable[[dict, list[dict]], list[tuple[int, int]]], names: list[str], percent: int) -> DataFrame:
+    """What look finds for each of meetings (node, group) and the members of the group that are of other clusters and that
+    neither size nor signature rules out. A group's members wait in one task for its guests."""
+    least, columns = likely(percent / 100), ["group", "node", "cluster", "sig", "n", *more]
+    hosts = members.select(*columns, F.lit(False).alias("guest"))
+    guests = meetings.join(members.drop("group"), "node").select(*columns, F.lit(True).alias("guest"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held = None, []
+        at, held, sigs = None, [], None
         for b in slices(batches, 64):
-            links: list[tuple[int, int]] = []
+            out: list[tuple[int, int]] = []
             for r in b.to_pylist():
                 if r["group"] != at:
                     at, held, sigs = r["group"], [], None
@@ -383,17 +365,28 @@ def confirmed(meetings: DataFrame, members: DataFrame, percent: int) -> DataFram
                     continue
                 if sigs is None:
                     sigs = np.frombuffer(b"".join(x["sig"] for x in held), np.uint8).reshape(len(held), -1)
-                    of, sizes = np.array([x["cluster"] for x in held]), np.array([len(x["set"]) for x in held])
-                n = len(r["set"])
-                able = (of != r["cluster"]) & ((sigs == np.frombuffer(r["sig"], np.uint8)).sum(1) >= least) & (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n))
-                able = np.flatnonzero(able)
-                if len(able):
-                    able = able[Linked([as_set(held[k]["set"]) for k in able], percent).to(as_set(r["set"]))]
-                    links += [(r["node"], held[k]["node"]) for k in able[np.unique(of[able], return_index=True)[1]]]  # one a cluster joins them
-            if links:
-                yield pa.RecordBatch.from_arrays([pa.array([p[e] for p in links], pa.int64()) for e in (0, 1)], ["a", "b"])
+                    of, sizes = (np.array([x[k] for x in held]) for k in ("cluster", "n"))
+                able = (of != r["cluster"]) & (100 * np.minimum(sizes, r["n"]) >= percent * np.maximum(sizes, r["n"]))
+                able &= (sigs == np.frombuffer(r["sig"], np.uint8)).sum(1) >= least
+                if able.any():
+                    out += look(r, [held[k] for k in np.flatnonzero(able)])
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([p[e] for p in out], pa.int64()) for e in (0, 1)], names)
+
+    rows = hosts.unionByName(guests).repartition("group").sortWithinPartitions("group", "guest")
+    return rows.mapInArrow(run, ", ".join(f"{k} long" for k in names))
+
+
+def confirmed(meetings: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links of different clusters on the full sets of members (node, cluster, sig, n, group, set), one for each
+    member of meetings (node, group) and cluster in the group. Sets go only to groups where the signatures leave something to compare."""
+
+    def links(guest: dict, able: list[dict]) -> list[tuple[int, int]]:
+        near = Linked([as_set(x["set"]) for x in able], percent).to(as_set(guest["set"]))
+        return [*{x["cluster"]: (guest["node"], x["node"]) for x, yes in zip(able, near, strict=True) if yes}.values()]
 
-    return rows.repartition("group").sortWithinPartitions("group", "guest").mapInArrow(run, "a long, b long")
+    left = hosted(cut(meetings), members, [], lambda guest, able: [(guest["node"], able[0]["group"])], ["node", "group"], percent)
+    return hosted(cut(left), members, ["set"], links, ["a", "b"], percent)
 
 
 def joined(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -524,7 +517,7 @@ def judged(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col: s
         links = cut(links)
         so_far = components(links).withColumnRenamed("component", "cluster")
         group = F.pmod(F.xxhash64("node"), F.lit(1 + members.count() // GROUP)).cast("int").alias("group")
-        grouped = cut(members.drop("cluster").join(so_far, "node", "left").select("node", F.coalesce("cluster", "node").alias("cluster"), "sig", group, "set"))
+        grouped = cut(members.drop("cluster").join(so_far, "node", "left").select("node", F.coalesce("cluster", "node").alias("cluster"), "sig", (F.octet_length("set") / 8).cast("long").alias("n"), group, "set"))
         links = links.unionByName(confirmed(rare_meetings(grouped, percent), grouped, percent))
     joined = components(links).join(classes.select("node", "rep"), "node")
     least = joined.groupBy("component").agg(F.min("rep").alias("first"))

@@ -403,7 +403,7 @@ def test_near_duplicates(spark, seed, size, percent, small, monkeypatch):
 
 def test_near_duplicates_in_crowded_regions(spark, monkeypatch):
     """Planted near copies among texts of the same few words: the first region holds all, and nearly nothing else is left to the forest."""
-    for name, value in (("TREES", 2), ("SHORTEST", 0), ("WINDOW", 3), ("BLOCK", 64), ("ORDER_CLASSES", 300), ("SEARCHED", (0,))):
+    for name, value in (("TREES", 2), ("SHORTEST", 0), ("WINDOW", 3), ("PARTS", 2), ("ORDER_CLASSES", 300), ("SEARCHED", (0,))):
         monkeypatch.setattr(neardup, name, value, raising=False)
     rng = np.random.default_rng(21)
     picks = (rng.random((1500, 200)) < 0.2).astype(int)
