@@ -294,23 +294,52 @@ def test_top_k(spark, seed, monkeypatch):
     assert {q: sorted(x) for q, x in got.items()} == want
 
 
+def lists_of(x):
+    order = np.argsort(x, 0, kind="stable")
+    return topk.Lists(order, np.take_along_axis(x, order, 0))
+
+
 def test_top_k_stops_early():
+    """A quarter of each list parts the candidates; the scores are resolved by reading on, from nothing but the lists."""
     rng = np.random.default_rng(0)
-    x = rng.integers(-3, 3, (4000, 4))
+    x = rng.integers(-3, 3, (4000, 4)).astype(float)
     x[:30] += 100
-    calls = []
-    real = topk.bounds
-    topk.bounds = lambda *a: calls.append(a[3]) or real(*a)
-    try:
-        ids, out = np.arange(4000), topk.best_of_block(np.arange(4000), x, np.array([-1]), np.array([[1, 1, 1, 1]]), 20)
-    finally:
-        topk.bounds = real
-    assert calls == [1000] and sorted(out[2].tolist()) == sorted((x.sum(1)).tolist())[-20:] and len(ids) == 4000
+    query, ids, score, depth = topk.best_of_block(np.arange(4000), lists_of(x), np.array([-1]), np.array([[1.0, 1, 1, 1]]), 20)
+    assert set(depth) == {0.25} and score.tolist() == sorted(x.sum(1).astype(int).tolist())[-20:][::-1] and set(ids) <= set(range(30))
+
+
+@pytest.mark.parametrize("large", [1, 10**3, 10**9, 10**13])
+def test_top_k_from_lists_alone(large):
+    """All types of sums, against Python's integers."""
+    rng = np.random.default_rng(large % 97)
+    x, q = ([[int(v) for v in row] for row in rng.integers(-9 * large, 9 * large, (n, 7))] for n in (700, 5))
+    most = 7 * 81 * large**2
+    exact = next(t[0] for t in topk.TYPES if t[1] is None or most < t[1])
+    got = topk.best_of_block(np.arange(700), lists_of(topk.whole(np.array(x, object).astype(float), exact)), np.arange(5) + 700, topk.whole(np.array(q, object).astype(float), exact), 20)
+    score = lambda a, b: max(-(2**63), min(2**63 - 1, sum(u * v for u, v in zip(a, b, strict=True))))
+    want = [(700 + n, k, s) for n, row in enumerate(q) for s, k in sorted(((score(row, v), k) for k, v in enumerate(x)), key=lambda t: (-t[0], t[1]))[:20]]
+    assert sorted(zip(*(c.tolist() for c in got[:3]), strict=True)) == sorted(want)
+
+
+def test_top_k_large_and_long(spark):
+    """Components of any finite size, vectors of any length, and one id and vector in very many rows."""
+    rows = [(0, [1e20, 0.0]), (1, [1.0] * 3000), (2, [4e7, 1.0]), (3, [-1e9]), (4, []), (5, [1.7e308]), (6, [0.5, 2.0])]
+    got = {}
+    for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") < 4, 3).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    most = 2**63 - 1
+    assert sorted(got[0]) == [(1, 1, most), (2, 2, most), (3, 5, most)]
+    assert sorted(got[1]) == [(1, 0, most), (2, 5, most), (3, 2, 64 * (64 * 4 * 10**7 + 64))]
+    assert sorted(got[2])[:2] == [(1, 0, most), (2, 5, most)] and sorted(got[3])[:1] == [(1, 4, 0)]
+    same = spark.range(40000).select(F.lit(7).alias("vec_id"), F.array(F.lit(1.0), F.lit(2.0)).alias("embedding")).unionByName(spark.createDataFrame([(0, [1.0, 1.0])], "vec_id long, embedding array<double>"))
+    assert [(r.vec_id, r.score) for r in topk.top_k(same, F.col("vec_id") == 0, 3).collect()] == [(7, 3 * 64 * 64)] * 3
 
 
 def test_top_k_small(spark):
     one = spark.createDataFrame([(0, [1.0])], "vec_id long, embedding array<float>")
     assert topk.top_k(one, F.lit(True)).count() == 0 and topk.top_k(one.limit(0), F.lit(True)).count() == 0
+    none = spark.createDataFrame([(0, []), (1, [])], "vec_id long, embedding array<float>")
+    assert sorted((r.query_id, r.vec_id, r.score) for r in topk.top_k(none, F.lit(True)).collect()) == [(0, 1, 0), (1, 0, 0)]
 
 
 # -- 7 fingerprints
