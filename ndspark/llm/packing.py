@@ -2,9 +2,9 @@
 
 Only the histogram of piece lengths, one number per length, reaches the driver. There a
 configuration linear program over it is solved by multiplicative weights: a knapsack dynamic
-program prices the best pattern of lengths under the current weights. Rounding down keeps whole
-patterns, best-fit decreasing packs the rest, and both work on counts, so that their time doesn't
-grow with the number of documents. Pieces then find their places by rank within their length.
+program prices the best patterns of lengths under the current weights, and what these cover loses weight.
+Rounding down keeps whole patterns, best-fit decreasing packs only what that leaves, and both work on counts, so
+that their time doesn't grow with the number of documents. Pieces then find their places by rank within their length.
 
 A null text is an empty one: a single end token. Longer documents than a sequence are cut into
 whole sequences, the first piece taking the remainder. Repeated rows are packed each. An empty
@@ -29,9 +29,11 @@ from pyspark.sql.window import Window
 from .common import cut, partitions, slices
 
 SEQUENCE, END_ID = 1024, 2
-#: Patterns priced at most, the share of what the scarcest length has left that one step takes, the
-#: rate of the weights, and the power of a length that they start from (long pieces fit worst).
-ROUNDS, STEP, RATE, POWER = 1500, 0.5, 0.5, 1.1
+#: Rounds of pricing at most, patterns that one round uses, and how much worse than the best these may be.
+ROUNDS, PATTERNS, SLACK = 400, 8, 0.002
+#: The share of what the scarcest length has left that one use takes, the rate of the weights, and the power of a
+#: length that they start from (long pieces fit worst).
+STEP, RATE, POWER = 0.5, 0.5, 1.1
 
 Pattern = tuple[tuple[int, int], ...]  # (length, how many), longest first
 
@@ -77,47 +79,64 @@ def pieces(docs: DataFrame, json_path: str, ranks_path: str | None, pattern: str
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
 
 
-def priced(weights: np.ndarray, lengths: np.ndarray, size: int) -> Pattern:
-    """The pattern of most weight that fits: an unbounded knapsack by dynamic programming."""
-    best, take = np.zeros(size + 1), np.full(size + 1, -1)
-    for room in range(int(lengths[0]), size + 1):
-        n = np.searchsorted(lengths, room, "right")
-        gain = weights[:n] + best[room - lengths[:n]]
-        k = int(gain.argmax())
-        best[room], take[room] = (gain[k], k) if gain[k] > best[room - 1] else (best[room - 1], -1)
-    found: Counter[int] = Counter()
-    room = size
-    while room > 0:
-        if take[room] < 0:
-            room -= 1
-        else:
-            found[int(lengths[take[room]])] += 1
-            room -= int(lengths[take[room]])
-    return tuple(sorted(found.items(), reverse=True))
-
-
-def fractional(counts: dict[int, int], size: int, rounds: int = ROUNDS, step: float = STEP) -> dict[Pattern, float]:
-    """Multiplicative weights for the covering program: how often to use which pattern, as fractions.
-
-    A length's weight grows exponentially with the share of its demand that is still open, so that
-    all run out together. A step takes `step` of what the pattern's scarcest length has left, or all
-    of it once that is less than one sequence; no length is covered beyond its demand."""
+class Knapsack:
+    """Patterns of most weight by dynamic programming: for every room the best filling, any length any number of times."""
+
+    def __init__(self, weights: np.ndarray, lengths: np.ndarray, size: int):
+        self.weights, self.lengths, self.size = weights, lengths, size
+        self.best, self.take = np.zeros(size + 1), np.full(size + 1, -1)
+        for room in range(int(lengths[0]), size + 1):
+            n = np.searchsorted(lengths, room, "right")
+            gain = weights[:n] + self.best[room - lengths[:n]]
+            k = int(gain.argmax())
+            self.best[room], self.take[room] = (gain[k], k) if gain[k] > self.best[room - 1] else (self.best[room - 1], -1)
+
+    def near_best(self) -> np.ndarray:
+        """The lengths (as places) that begin a pattern nearly as good as the best."""
+        return np.flatnonzero(self.weights + self.best[self.size - self.lengths] >= (1 - SLACK) * self.best[self.size])
+
+    def pattern(self, first: int) -> Pattern:
+        found, room = Counter({int(self.lengths[first]): 1}), self.size - int(self.lengths[first])
+        while room > 0:
+            if self.take[room] < 0:
+                room -= 1
+            else:
+                found[int(self.lengths[self.take[room]])] += 1
+                room -= int(self.lengths[self.take[room]])
+        return tuple(sorted(found.items(), reverse=True))
+
+
+def fractional(counts: dict[int, int], size: int, rounds: int = ROUNDS) -> tuple[dict[Pattern, float], float]:
+    """Multiplicative weights for the covering program: how often to use which pattern, as fractions, and a lower bound of any solution.
+
+    Every length has a weight. A round prices patterns by them: the best, and some nearly as good that begin with what is
+    most open, are used, and each weight in them is multiplied by exp(-RATE * the share of its demand that this covers). A use takes STEP of
+    what the pattern's scarcest length has left, or all of it once that is less than one sequence; no length is covered
+    beyond its demand. Weights over their best pattern are a feasible dual, which gives the bound: at the start with
+    lengths as weights, then with those of each round that prices all lengths."""
     lengths = np.array(sorted(counts))
     need = np.array([counts[x] for x in lengths.tolist()], float)
     where = {int(x): k for k, x in enumerate(lengths)}
-    left, used = need.copy(), {}
+    bound = float(need @ lengths) / Knapsack(lengths.astype(float), lengths, size).best[size]
+    weights, left, used = lengths.astype(float) ** POWER, need.copy(), {}
     for _ in range(rounds):
         open_ = np.flatnonzero(left > 1e-9)
         if not len(open_):
             break
-        share = left[open_] / need[open_]
-        pattern = priced(lengths[open_] ** POWER * np.exp(RATE * (share - share.max())), lengths[open_], size)
-        at, many = np.array([where[x] for x, _ in pattern]), np.array([m for _, m in pattern], float)
-        most = float((left[at] / many).min())
-        x = most if most <= 1 else max(1.0, step * most)
-        used[pattern] = used.get(pattern, 0.0) + x
-        left[at] -= x * many
-    return used
+        sack = Knapsack(weights[open_], lengths[open_], size)
+        if len(open_) == len(lengths):
+            bound = max(bound, float(need @ weights) / sack.best[size])
+        share, able = (left / need)[open_], sack.near_best()
+        for first in able[np.argsort(-share[able], kind="stable")][:PATTERNS].tolist():
+            pattern = sack.pattern(first)
+            at, many = np.array([where[x] for x, _ in pattern]), np.array([m for _, m in pattern], float)
+            most = float((left[at] / many).min())
+            if most > 1e-9:
+                x = most if most <= 1 else max(1.0, STEP * most)
+                used[pattern] = used.get(pattern, 0.0) + x
+                left[at] -= x * many
+                weights[at] *= np.exp(-RATE * x * many / need[at])
+    return used, bound
 
 
 def best_fit(counts: dict[int, int], size: int, begun: Counter[Pattern] | None = None) -> Counter[Pattern]:
@@ -169,20 +188,18 @@ def best_fit(counts: dict[int, int], size: int, begun: Counter[Pattern] | None =
 
 
 def plan(counts: dict[int, int], size: int = SEQUENCE) -> Counter[Pattern]:
-    """Patterns and how often to use each, covering counts exactly: the program's, rounded down, with
-    what that leaves packed by best fit into their room and new sequences. Best fit alone is taken
-    where it needs fewer."""
+    """Patterns and how often to use each, covering counts exactly: the program's, rounded down; what that
+    leaves is packed by best fit into their room and new sequences."""
     counts = {x: n for x, n in counts.items() if n}
     left, begun = dict(counts), Counter()
     short = {x: n for x, n in counts.items() if x < size}
-    for pattern, x in sorted(fractional(short, size).items(), key=lambda p: (-p[1], p[0])) if short else ():
-        n = min([int(x), *(left[k] // m for k, m in pattern)])
+    for pattern, x in sorted(fractional(short, size)[0].items(), key=lambda p: (-p[1], p[0])) if short else ():
+        n = min([int(x + 1e-9), *(left[k] // m for k, m in pattern)])
         if n > 0:
             begun[pattern] += n
             for k, m in pattern:
                 left[k] -= n * m
-    both = best_fit({x: n for x, n in left.items() if n}, size, begun), best_fit(counts, size)
-    return min(both, key=lambda p: sum(p.values()))
+    return best_fit({x: n for x, n in left.items() if n}, size, begun)
 
 
 def places(patterns: Counter[Pattern]) -> pd.DataFrame:

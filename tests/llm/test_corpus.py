@@ -173,8 +173,38 @@ def test_plan_covers_exactly():
     assert sum(program.values()) < sum(alone.values())
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_plan_against_its_bound(seed):
+    """On random histograms the fractions come close to the dual bound, and the whole plan to both it and the volume."""
+    rng = random.Random(seed)
+    counts = {x: rng.randint(200, 3000) for x in rng.sample(range(5, 640), 60)}
+    used, bound = packing.fractional(counts, 1024)
+    volume = sum(x * n for x, n in counts.items()) / 1024
+    covered = Counter()
+    for pattern, x in used.items():
+        for length, many in pattern:
+            covered[length] += many * x
+    assert all(covered[x] <= n + 1e-6 for x, n in counts.items())
+    rest = sum(x * (n - covered[x]) for x, n in counts.items()) / 1024
+    total = sum(packing.plan(counts).values())
+    assert volume - 1e-6 <= bound <= total and sum(used.values()) + rest <= 1.02 * bound
+    assert total <= 1.01 * bound + 2 and total <= 1.001 * sum(packing.best_fit(counts, 1024).values()) + 1
+
+
+def test_dual_bound_beats_the_volume():
+    """Of three lengths over a third of a sequence two at most fit together: the weights find that."""
+    counts = {400: 300, 410: 300, 420: 300}
+    used, bound = packing.fractional(counts, 1024)
+    assert bound > 445 > 1.2 * sum(x * n for x, n in counts.items()) / 1024 and sum(packing.plan(counts).values()) == 450
+
+
 def test_tokenizers_agree():
     slow, quick = packing.tokenizer(JSON, None, PATTERN), packing.tokenizer(JSON, RANKS, PATTERN)
+    rng = random.Random(3)
+    parts = ["the ", "THE", " a", "\n", "\n\n ", "  ", "'s", "'LL", "12", "3456", "é", "ß", "漢字", "😀", "👩\u200d💻", "\u0301", "\u00a0", "\x85", "\t", "<|", "|>", "<|endoftext|>", "_", "-", "...", "ı", "İ", "\u2028", "Ωμ", "र्", "\x00"]
+    for _ in range(4000):
+        t = "".join(rng.choice(parts) if rng.random() < 0.7 else chr(rng.choice([rng.randrange(32, 127), rng.randrange(160, 0x3000), rng.randrange(0xE000, 0x1F000)])) for _ in range(rng.randrange(1, 30)))
+        assert slow(t).tolist() == quick(t).tolist(), t
     for t in ["", "a  b\n\n c", "it's <|endoftext|> 漢字", LONG[:500], " x\x85 y\x1c"]:
         assert slow(t).tolist() == quick(t).tolist()
 
