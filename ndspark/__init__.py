@@ -10,6 +10,7 @@ from .operators.filters import (
     DimensionSliceFilter,
     Filter,
     IndicesFilter,
+    RowsFilter,
     SliceFilter,
     TensorBoolFilter,
     TensorFilter,
@@ -23,4 +24,4 @@ from .transaction import Transaction
 from .values import TensorValue
 from .workspace import Dimension, Tensor, TensorRef, Workspace, WorkspaceManager, connect, create_workspace, wrap
 
-__all__ = ["Accumulator", "BoolFilter", "Bundle", "CompoundFilter", "ConflictError", "ConstFilter", "Dimension", "DimensionBoolFilter", "DimensionIndicesFilter", "DimensionSliceFilter", "Filter", "GroupDimensionBy", "GroupViewBy", "IndicesFilter", "SliceFilter", "Tensor", "TensorBoolFilter", "TensorFilter", "TensorIndicesFilter", "TensorRef", "TensorSliceFilter", "TensorValue", "Transaction", "View", "Workspace", "WorkspaceManager", "connect", "create_workspace", "wrap"]
+__all__ = ["Accumulator", "BoolFilter", "Bundle", "CompoundFilter", "ConflictError", "ConstFilter", "Dimension", "DimensionBoolFilter", "DimensionIndicesFilter", "DimensionSliceFilter", "Filter", "GroupDimensionBy", "GroupViewBy", "IndicesFilter", "RowsFilter", "SliceFilter", "Tensor", "TensorBoolFilter", "TensorFilter", "TensorIndicesFilter", "TensorRef", "TensorSliceFilter", "TensorValue", "Transaction", "View", "Workspace", "WorkspaceManager", "connect", "create_workspace", "wrap"]

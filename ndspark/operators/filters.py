@@ -12,7 +12,7 @@ from collections.abc import Callable, Sequence
 from typing import TYPE_CHECKING, Any
 
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 if TYPE_CHECKING:
@@ -41,8 +41,8 @@ class Filter:
         """The positions in ascending order, duplicates kept, where they are known without data."""
         return None
 
-    def tables(self) -> dict[str, np.ndarray]:
-        """Index arrays too long for a predicate, by the name of the flag column that stands for them."""
+    def tables(self) -> dict[str, np.ndarray | DataFrame]:
+        """Positions that aren't a predicate, by the name of the flag column that stands for them."""
         return {}
 
     def _with(self, other: Any, op: str) -> CompoundFilter:
@@ -139,7 +139,7 @@ class IndicesFilter(Filter):
     def positions(self) -> np.ndarray:
         return self.at
 
-    def tables(self) -> dict[str, np.ndarray]:
+    def tables(self) -> dict[str, np.ndarray | DataFrame]:
         return {self.flag: np.unique(self.at)} if len(self.at) > IN_LIST else {}
 
 
@@ -153,6 +153,20 @@ class BoolFilter(IndicesFilter):
         super().__init__(axis, n, np.flatnonzero(mask))
 
 
+class RowsFilter(Filter):
+    """Positions from a DataFrame, in its first column, however many; a set. They never reach the client."""
+
+    def __init__(self, axis: Axis, n: int, rows: DataFrame):
+        self.axis, self.n, self.rows = axis, n, rows.select(F.col(rows.columns[0]).cast("long"))
+        self.flag = f"__in_{id(self):x}"
+
+    def predicate(self, idx: Column, column: Callable[[str], Column], strict: bool = False) -> Column:
+        return sound(column(self.flag))
+
+    def tables(self) -> dict[str, np.ndarray | DataFrame]:
+        return {self.flag: self.rows}
+
+
 class DimensionSliceFilter(SliceFilter):
     def __init__(self, dim: Dimension, which: slice):
         super().__init__(dim.name, dim.length, which)
@@ -200,7 +214,7 @@ class CompoundFilter(Filter):
         q = self.right.predicate(idx, column, strict or self.op in "^-")
         return {"&": lambda: p & q, "|": lambda: p | q, "^": lambda: p != q, "-": lambda: p & ~q}[self.op]()
 
-    def tables(self) -> dict[str, np.ndarray]:
+    def tables(self) -> dict[str, np.ndarray | DataFrame]:
         return self.left.tables() | (self.right.tables() if self.right else {})
 
 
@@ -208,6 +222,9 @@ def axis_filter(item: Any, sliced: Callable[[slice], Filter], indexed: Callable[
     """The filter that an index expression on one axis means: a slice, a mask, or positions."""
     if isinstance(item, slice):
         return sliced(item)
+    if isinstance(item, DataFrame):
+        whole = sliced(slice(None))
+        return RowsFilter(whole.axis, whole.n, item)
     if isinstance(item, (int, np.integer)) and not isinstance(item, (bool, np.bool_)):
         return indexed(item)
     if isinstance(item, (list, tuple, range, np.ndarray)):

@@ -6,10 +6,14 @@ from collections.abc import Callable
 from typing import TYPE_CHECKING, Any
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import STATISTICS, aggregate
+from ..plans import layout, select
+from ..plans.staging import staged
+from .filters import IndicesFilter
 from .view import View
 
 if TYPE_CHECKING:
@@ -35,21 +39,31 @@ class Grouped:
             t = self.view.ws._get_tensor(self.labels)
             if t.axes[0] != axis:
                 raise ValueError(f"labels lie on {t.axes[0]!r}, the values on {axis!r}")
-            found = View(self.view.ws, [f for f in self.view.filters if f.axis == axis]).columns(self.labels).withColumnRenamed(self.labels, "label").distinct()
+            found = View(self.view.ws, [f for f in self.view.filters if f.axis == axis]).columns(self.labels).withColumnRenamed(self.labels, "label")
+            if isinstance(self.view.axes.get(axis), IndicesFilter):
+                found = found.distinct()  # positions given twice
         elif isinstance(self.labels, DataFrame):
             found = self.labels.select("idx", "label")
         else:
             values = np.asarray(self.labels)
             f = self.view.axes.get(axis)
             known = None if f is None else f.positions()
-            if f is not None and known is None:
-                known = [r.idx for r in self.view.positions(axis).orderBy("idx").collect()]
-            at = range(len(values)) if known is None else known
-            if len(values) != len(at):
-                raise ValueError(f"{len(values)} labels for {len(at)} positions")
-            found = self.view.ws._spark.createDataFrame([(int(k), v.item() if isinstance(v, np.generic) else v) for k, v in zip(at, values, strict=True)], ["idx", "label"])
+            at = np.arange(len(values)) if known is None else known
+            n = self.view.get_length(axis)
+            if len(values) != n:
+                raise ValueError(f"{len(values)} labels for {n} positions")
+            found = self.view.ws._spark.createDataFrame(pa.table({"idx": pa.array(at, pa.int64()), "label": pa.array(values.tolist())}))
+            if f is not None and known is None:  # the n-th label is for the n-th selected position
+                order = layout.numbered(staged(self.view.positions(axis).orderBy("idx")).withColumnRenamed("idx", "at"), 0)
+                found = order.join(found, "idx").select(F.col("at").alias("idx"), "label")
         return rows.join(found.withColumnRenamed("idx", on), on)
 
+    def _beside(self, own: DataFrame, path: str, axis: Any) -> DataFrame:
+        """Rows of a file with their label, read from the same file where it holds the labels too."""
+        if isinstance(self.labels, str) and self.labels in select.held(self.view.ws, path, own) and self.view.ws._get_tensor(self.labels).axes[0] == axis:
+            return own.withColumn("label", F.col(self.labels))
+        return self._labelled(own, "idx", axis)
+
     def stats(self, of: str, names: list[str] | None = None, nan: bool = False, order: bool = False) -> DataFrame:
         """The named statistics (all by default) of a tensor in one pass. nan: NaN, not NULL, where moments are
         undefined. order: also `order`, the first position of each label."""
@@ -68,8 +82,7 @@ class Grouped:
             rows, on, keys = rows.withColumn("label", F.col(self.labels)) if direct else rows, "idx", []
             rows = rows if direct else self._labelled(rows, on, t.axes[0])
         else:
-            rows, on, keys = self.view.long(of), "i0", [f"i{k}" for k in range(1, t.rank)]
-            rows = self._labelled(rows, on, t.axes[0])
+            rows, on, keys = self.view.long(of, lambda own, path: self._beside(own, path, t.axes[0])), "i0", [f"i{k}" for k in range(1, t.rank)]
         if self.projection:
             rows = rows.withColumn("label", self.projection(F.col("label")))
         value = F.col("v").cast("int") if t.dtype == "bool" else F.col("v")

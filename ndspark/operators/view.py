@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import TYPE_CHECKING, Any
 
 import numpy as np
@@ -92,8 +92,9 @@ class View:
         rows = select.dimension_rows(self.ws, [*names, *(t for t in sorted(f.tensors) if t not in names)])
         return select.keep(self.ws, rows, "idx", f, set(rows.columns)).select("idx", *names)
 
-    def long(self, name: str) -> DataFrame:
-        """(i0, i1, ..., v) of a tensor of rank 2 or more. The first axis is filtered before rows are taken apart."""
+    def long(self, name: str, label: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
+        """(i0, i1, ..., v) of a tensor of rank 2 or more. The first axis is filtered, and given the column that
+        label adds to (idx, ...) of a file, before rows are taken apart."""
         t = self.ws._get_tensor(name)
         first = self.filter_of(t, 0)
         rows = {}
@@ -101,8 +102,10 @@ class View:
         for s in spec.segments:
             own = self.ws._catalog.frame(s.path)
             rows[s.path] = select.keep(self.ws, own, "idx", first, select.held(self.ws, s.path, own)) if first is not None else own
+            if label:
+                rows[s.path] = label(rows[s.path], s.path)
         spec, rows = self._sliced(t, spec, rows)
-        out = layout.long_form(self.ws._catalog, spec, rows)
+        out = layout.long_form(self.ws._catalog, spec, rows, ["label"] if label else [])
         for k in range(1, t.rank):
             if (f := self.filter_of(t, k)) is not None:
                 out = select.keep(self.ws, out, f"i{k}", f, set())
@@ -143,10 +146,14 @@ class View:
         if any(p is None for p in known.values()):
             raise NotImplementedError("trailing axes of jagged tensors are filtered by position")
         for k, at in known.items():
-            want = F.array(*[F.lit(int(p)) for p in at]).cast("array<int>")
-            size = F.get("shape", F.lit(k - 1))
+            size, none = F.get("shape", F.lit(k - 1)), F.array().cast("array<int>")
+            if isinstance(chosen[k], fl.SliceFilter):
+                last = F.least(F.lit(int(at[-1])), size - 1) if len(at) else F.lit(-1)
+                step = int(at[1] - at[0]) if len(at) > 1 else 1
+                there = F.when(last >= (int(at[0]) if len(at) else 0), F.sequence(F.lit(int(at[0]) if len(at) else 0), last, F.lit(step))).otherwise(none)
+            else:
+                there = F.filter(F.array(*[F.lit(int(p)) for p in at]).cast("array<int>"), lambda p, size=size: p < size)
             inner = F.aggregate(F.slice("shape", k + 1, max(1, t.rank)), F.lit(1), lambda a, b: a * b)
-            there = F.filter(want, lambda p: p < size)
             outer = F.aggregate(F.slice("shape", 1, k - 1), F.lit(1), lambda a, b: a * b) if k > 1 else F.lit(1)
             rows = rows.select("idx", "shape", "v", size.alias("size"), inner.alias("inner"), there.alias("there"), outer.alias("outer"))
             blocks = F.flatten(F.transform(F.when(F.col("outer") > 0, F.sequence(F.lit(0), F.col("outer") - 1)).otherwise(F.array().cast("array<int>")), lambda o: F.transform("there", lambda p: F.slice("v", (o * F.col("size") + p) * F.col("inner") + 1, F.col("inner")))))
@@ -189,6 +196,30 @@ class View:
         keys = [f"i{k}" for k in range(t.rank)]
         return np.array([r.v for r in self.long(name).orderBy(*keys).select("v").collect()], dtype=kind).reshape(self.get_shape(name))
 
+    def batches(self, name: str, rows: int = 1000) -> Iterator[tuple[np.ndarray, Any]]:
+        """(positions on the first axis, values) of so many rows at a time, in ascending order; one partition at a time
+        comes to the client. Values are arrays, or a list of arrays if the tensor is jagged."""
+        t = self.ws._get_tensor(name)
+        if t.rank == 0:
+            raise ValueError("a scalar has no rows")
+        kind, inner = object if t.dtype == "string" else t.dtype, self.get_shape(name)[1:] if t.rank > 1 and not t.jagged else ()
+        table = self.read(name) if t.rank == 1 or t.jagged else self.rows(name)
+        held: list[Any] = []
+
+        def packed() -> tuple[np.ndarray, Any]:
+            at = np.array([r["idx"] for r in held], np.int64)
+            if t.jagged:
+                return at, [np.array(r["v"], dtype=kind).reshape(r["shape"]) for r in held]
+            return at, np.array([r[name if t.rank == 1 else "v"] for r in held], dtype=kind).reshape(len(held), *inner)
+
+        for row in table.orderBy("idx").toLocalIterator():
+            held.append(row)
+            if len(held) == rows:
+                yield packed()
+                held = []
+        if held:
+            yield packed()
+
     def groupby(self, labels: Any = None, projection: Callable | None = None):  # noqa: ANN201
         from .groupby import GroupViewBy
 

@@ -49,16 +49,17 @@ def row_form(catalog: Catalog, spec: TensorSpec) -> DataFrame | None:
     return union([catalog.frame(s.path).select("idx", F.col(s.column).alias("v")) for s in spec.segments]) if whole and spec.segments else None
 
 
-def long_form(catalog: Catalog, spec: TensorSpec, rows: dict[str, DataFrame] | None = None) -> DataFrame:
-    """(i0, i1, ..., v): a row per value. rows replaces the frames of segments, by path."""
+def long_form(catalog: Catalog, spec: TensorSpec, rows: dict[str, DataFrame] | None = None, more: list[str] | None = None) -> DataFrame:
+    """(i0, i1, ..., v) and more columns of rows: a row per value. rows replaces the frames of segments, by path."""
+    more = more or []
     names = [f"i{k}" for k in range(spec.rank)]
     frames = []
     for s in spec.segments:
         flat = (rows or {}).get(s.path, None)
-        flat = (catalog.frame(s.path) if flat is None else flat).select("idx", F.posexplode(s.column).alias("pos", "v"))
-        frames.append(flat.select(F.col("idx").alias("i0"), *[c.alias(n) for c, n in zip(coordinates(s, F.col("pos")), names[1:], strict=True)], "v"))
+        flat = (catalog.frame(s.path) if flat is None else flat).select("idx", *more, F.posexplode(s.column).alias("pos", "v"))
+        frames.append(flat.select(F.col("idx").alias("i0"), *[c.alias(n) for c, n in zip(coordinates(s, F.col("pos")), names[1:], strict=True)], "v", *more))
     if not frames:
-        return catalog.spark.createDataFrame([], ", ".join(f"{n} long" for n in names) + f", v {spec.kind.spark.simpleString()}")
+        return catalog.spark.createDataFrame([], ", ".join(f"{n} long" for n in names) + f", v {spec.kind.spark.simpleString()}").select("*", *[F.lit(None).alias(m) for m in more])
     return union(frames)
 
 

@@ -9,11 +9,11 @@ from typing import TYPE_CHECKING, Any
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..schema import Segment, TensorSpec
 from ..values import TensorValue, frame
 from . import layout, select
+from .staging import staged
 
 if TYPE_CHECKING:
     from ..operators.view import View
@@ -92,9 +92,8 @@ def _ranked(view: View, t: TensorRef, value: TensorValue) -> DataFrame:
         if known is not None:
             table = view.ws._spark.createDataFrame([(n, int(p)) for n, p in enumerate(known)], f"__r{k} long, {key} long")
         else:
-            # as long as the values that the client gave
-            order = Window.orderBy("idx")
-            table = select.selected(view.ws, axis, f).select((F.row_number().over(order) - 1).cast("long").alias(f"__r{k}"), F.col("idx").alias(key))
+            order = staged(select.selected(view.ws, axis, f).orderBy("idx")).withColumnRenamed("idx", "__to")
+            table = layout.numbered(order, 0).select(F.col("idx").alias(f"__r{k}"), F.col("__to").alias(key))
         stacked = stacked.join(table, f"__r{k}")
     return stacked.groupBy(*keys).agg(F.max_by("v", "__at").alias("v"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from typing import TYPE_CHECKING
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,9 +19,11 @@ if TYPE_CHECKING:
 BROADCAST = 1_000_000
 
 
-def index_table(ws: WorkspaceManager, at: np.ndarray, name: str) -> DataFrame:
-    """Positions, as the client gave them."""
-    table = ws._spark.createDataFrame([(int(x),) for x in at], f"{name} long")
+def index_table(ws: WorkspaceManager, at: np.ndarray | DataFrame, name: str) -> DataFrame:
+    """Positions, as the client gave them; those of a DataFrame once each."""
+    if isinstance(at, DataFrame):
+        return at.toDF(name).distinct()
+    table = ws._spark.createDataFrame(pa.table({name: pa.array(at, pa.int64())}))
     return F.broadcast(table) if len(at) <= BROADCAST else table
 
 

@@ -13,13 +13,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators.bundle import bundle, categorical
+from .operators.bundle import bundle, categorical, selected_bundle
 from .operators.view import View
-from .plans.staging import staged
+from .plans.staging import shared_folder, staged
 from .sources.catalog import Catalog
 from .sources.interop import dense
+from .transaction import Transaction
 from .values import TensorValue
-from .workspace import Dimension, Tensor, WorkspaceManager, connect, wrap
+from .workspace import Dimension, Tensor, Workspace, WorkspaceManager, connect, wrap
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -64,10 +65,7 @@ def lines(spark: SparkSession, sf_dir: str) -> WorkspaceManager:
 
 def scratch(spark: SparkSession) -> WorkspaceManager:
     """A new stored workspace in the folder that driver and executors share."""
-    import tempfile
-
-    shared = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir() or tempfile.gettempdir()
-    return connect(f"{shared}/ndspark-{uuid.uuid4().hex}", spark)
+    return connect(f"{shared_folder(spark)}/ndspark-{uuid.uuid4().hex}", spark)
 
 
 # -- scans, filters, slices
@@ -104,6 +102,7 @@ _events(lambda w: w.events[-5:], "slice_negative", "event_id >= (SELECT count(*)
 _events(lambda w: w.events[::-3], "slice_reversed", "((SELECT count(*) FROM events) - 1 - event_id) % 3 = 0")
 _events(lambda w: w.events[3], "index_single", "event_id = 3")
 _events(lambda w: w.events[[-1, 0]], "index_negative", "event_id IN (0, (SELECT count(*) - 1 FROM events))")
+_events(lambda w: w.events[w._spark.range(len(w.events)).where("id % 3 = 0")], "rows_mask", "event_id % 3 = 0")
 _events(lambda w: w.events[np.arange(len(w.events)) % 3 == 0], "bool_mask", "event_id % 3 = 0")
 _events(lambda w: w.events[0:500] & (w.Value > 20) | w.events[[1, 2, 2]], "filter_tree", "event_id < 500 AND value > 20 OR event_id IN (1, 2)")
 
@@ -116,7 +115,7 @@ def index_array_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query('SELECT event_id AS idx, value AS "Value" FROM events WHERE event_id % 5 <> 0')
 def index_array_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     ws = ws_of(spark, sf_dir, "events")
-    return ws[~ws.events[np.arange(0, len(ws.events), 5)]].Value
+    return ws[~ws.events[spark.range(0, len(ws.events), 5)]].Value
 
 
 @query('SELECT p_partkey AS idx, p_size AS "PSize" FROM part WHERE p_size > 10')
@@ -419,7 +418,7 @@ def bundle_categorical(spark: SparkSession, sf_dir: str) -> DataFrame:
 def polygon_pad(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .functions.scalars import padded
 
-    rows = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("idx")).agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.char_length("text").alias("n")))), lambda x: x["n"].cast("long")).alias("v"))
+    rows = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("idx")).agg(F.transform(F.array_sort(F.collect_list(F.when(F.col("turn") < 8, F.struct("turn", F.char_length("text").alias("n"))))), lambda x: x["n"].cast("long")).alias("v"))
     return rows.select("idx", F.posexplode(padded(F.col("v"), 8)).alias("j", "v")).select("idx", F.col("j").cast("long").alias("j"), F.col("v").cast("long").alias("v"))
 
 
@@ -429,6 +428,138 @@ def import_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense(cells, 5, 25).select("idx", F.posexplode("v").alias("j", "v")).select("idx", F.col("j").cast("long").alias("j"), "v")
 
 
+# -- workspaces, single tensors, exchange of small ones
+
+
+def regions(spark: SparkSession, sf_dir: str, ws: WorkspaceManager) -> WorkspaceManager:
+    ws.regions = Dimension(None)
+    ws.Name = Tensor("string", ("regions",))
+    ws.regions.append(table(spark, sf_dir, "region").select(F.col("r_name").alias("Name"), "r_regionkey"), ["r_regionkey"])
+    return ws
+
+
+@query("SELECT CAST(r_regionkey AS BIGINT) AS idx, r_name AS \"Name\" FROM region")
+def workspace_move(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = scratch(spark)
+    root.a = Workspace()
+    regions(spark, sf_dir, root.a)
+    root.b = Workspace()
+    root.a._move_to("b.c")
+    assert "a" not in root and "b.c.Name" in root
+    return root["b.c"].Name[:]
+
+
+@query("SELECT * FROM (VALUES ('Other', 'tensor'), ('regions', 'dimension'), ('inner', 'workspace')) v(name, kind)")
+def workspace_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ws = regions(spark, sf_dir, scratch(spark))
+    ws.Other = Tensor("int32", ("regions",), inits=np.arange(5))
+    ws.inner = Workspace()
+    del ws.Name
+    kinds = {type(ws._get_tensor("Other")): "tensor", type(ws._get_dimension("regions")): "dimension", type(ws._get_workspace("inner")): "workspace"}
+    return spark.createDataFrame([(name, kinds[type(ws[name])]) for name in ws], "name string, kind string")
+
+
+@query("SELECT count(*) AS v FROM region")
+def scalar_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ws = scratch(spark)
+    ws.N = Tensor("int64", (), inits=table(spark, sf_dir, "region").count())
+    return ws.N[:]
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS idx, CAST(n_regionkey AS INTEGER) AS \"V\" FROM nation")
+def tensor_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    values = np.array([r[0] for r in table(spark, sf_dir, "nation").orderBy("n_nationkey").select("n_regionkey").collect()])
+    ws = scratch(spark)
+    ws.V = Tensor("int32", (None,), inits=values[:10])
+    ws.V.append(values[10:])
+    return ws.V[:]
+
+
+@query("SELECT CAST(r_regionkey AS BIGINT) AS idx, upper(r_name) AS \"Upper\" FROM region")
+def transaction_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a failed transaction did is undone; a whole one is seen at once."""
+    ws = regions(spark, sf_dir, scratch(spark))
+    rows = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("idx"), F.upper("r_name").alias("v"))
+    try:
+        with Transaction(ws):
+            del ws.Name
+            raise InterruptedError
+    except InterruptedError:
+        pass
+    with Transaction(ws):
+        ws.Upper = Tensor("string", ("regions",), inits=rows)
+        del ws.Name
+    return connect(ws._catalog.root, spark)[:].columns("Upper")
+
+
+@query("SELECT r % 3 AS label, count(*) AS count FROM (SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS r FROM nation WHERE n_regionkey > 0) GROUP BY 1")
+def group_array_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ws = ws_of(spark, sf_dir, "nation")
+    view = ws[ws.NRegionkey > 0]
+    return view.groupby(np.arange(view.get_length("nations")) % 3).count("NName")
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS idx, n_name AS \"NName\" FROM nation")
+def batch_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = [*ws_of(spark, sf_dir, "nation")[:].batches("NName", 7)]
+    assert [len(at) for at, _ in read] == [7, 7, 7, 4]
+    return spark.createDataFrame([(int(k), v) for at, values in read for k, v in zip(at, values, strict=True)], "idx long, NName string")
+
+
+def cells(spark: SparkSession, sf_dir: str) -> WorkspaceManager:
+    """nation x region as cells x genes, with a second layer, embeddings of both and marks."""
+    nations = table(spark, sf_dir, "nation").orderBy("n_nationkey").select("n_nationkey", "n_regionkey").collect()
+    n = len(nations)
+    ws = WorkspaceManager(Catalog(spark))
+    ws.cells, ws.genes = Dimension(n), Dimension(5)
+    hot = np.array([[int(r.n_regionkey == g) for g in range(5)] for r in nations])
+    ws.Expression, ws.Spliced = Tensor("int32", ("cells", "genes"), inits=hot * 7), Tensor("int32", ("cells", "genes"), inits=hot * np.arange(n)[:, None])
+    ws.Region = Tensor("string", ("cells",), inits=np.array([f"r{r.n_regionkey}" for r in nations], object))
+    ws.Pca, ws.Loading = Tensor("float64", ("cells", 2), inits=np.arange(2 * n).reshape(n, 2)), Tensor("float64", ("genes", 2), inits=np.arange(10).reshape(5, 2))
+    ws.Selected, ws.Valid = Tensor("bool", ("cells",), inits=np.arange(n) % 2 == 0), Tensor("bool", ("genes",), inits=np.arange(5) != 1)
+    return ws
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS row, CAST(n_regionkey AS BIGINT) AS col, CAST(n_nationkey AS INTEGER) AS v FROM nation WHERE n_nationkey > 0")
+def bundle_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cells(spark, sf_dir)[:].bundle(layers=["Spliced->spliced"]).layers["spliced"]
+
+
+@query("SELECT 'Loading' AS name, CAST(g AS BIGINT) AS idx, CAST(j AS BIGINT) AS j, CAST(2 * g + j AS DOUBLE) AS v FROM range(5) x(g), range(2) y(j) UNION ALL SELECT 'Pca', n_nationkey, j, 2 * n_nationkey + j FROM nation, range(2) y(j) WHERE n_regionkey > 1")
+def bundle_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ws = cells(spark, sf_dir)
+    b = ws[(ws.Region != "r0") & (ws.Region != "r1")].bundle()
+    rows = b.varm["Loading"].withColumn("name", F.lit("Loading")).unionByName(b.obsm["Pca"].withColumn("name", F.lit("Pca")))
+    return rows.select("name", "idx", F.posexplode("v").alias("j", "v")).withColumn("j", F.col("j").cast("long"))
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS idx, 'r' || n_regionkey || CASE WHEN k > 0 THEN '-' || k ELSE '' END AS \"Region\" FROM (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS k FROM nation)")
+def bundle_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cells(spark, sf_dir)[:].bundle(obs=[], var=[], obs_key="Region").obs
+
+
+@query("SELECT CAST(n_nationkey // 2 AS BIGINT) AS row, CAST(CASE WHEN n_regionkey > 1 THEN n_regionkey - 1 ELSE 0 END AS BIGINT) AS col, CAST(7 AS INTEGER) AS v FROM nation WHERE n_nationkey % 2 = 0 AND n_regionkey <> 1")
+def bundle_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return selected_bundle(cells(spark, sf_dir), True, "Valid").X
+
+
+@query("SELECT p_partkey AS idx, CAST((p_size + 65535) % 65536 AS BIGINT) AS total, 'p' || p_size AS text, CAST(p_size AS DOUBLE) AS x, 0.5::DOUBLE AS y FROM part")
+def import_helpers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sum of 16-bit layers, decoded bytes and points, as importers make them."""
+    from .functions.scalars import decoded, layer_sum, points
+
+    size = F.col("p_size").cast("long")
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("idx"), layer_sum(F.array(size), F.array(F.lit(65535).cast("long")))[0].alias("total"), decoded(F.concat(F.lit("p"), size.cast("string")).cast("binary")).alias("text"), points(size.cast("double"), F.lit(0.5).cast("double")).alias("p"))
+    return rows.select("idx", "total", "text", F.col("p")[0].alias("x"), F.col("p")[1].alias("y"))
+
+
+@query("SELECT * FROM (VALUES ('event_id', 'EventId'), ('event_type', 'EventType'), ('props', 'Props'), ('ts', 'Ts'), ('user_id', 'UserId'), ('value', 'Value')) v(name, tensor)")
+def import_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .functions.scalars import camel_snake_pairs
+
+    return spark.createDataFrame([*camel_snake_pairs(sorted(table(spark, sf_dir, "events").columns)).items()], "name string, tensor string")
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: a filtered, grouped mean over events."""
     ws = ws_of(spark, sf_dir, "events")

@@ -1,23 +1,29 @@
 """The catalog: a versioned JSON manifest of nested workspaces.
 
-Version n is the file n.json, written beside its place and renamed, after a claim file for n was made
-exclusively: of two writers one gets the version, the other a conflict. Data files are never
-changed, so a reader of one version sees one state. With no root everything stays in memory, which serves
-to wrap DataFrames.
+Version n is the file n.json, which is only ever created where there is none: of two writers one gets the version, the
+other a conflict. A file that a writer left unfinished counts as absent: readers take the version before, and after STALE
+seconds the next writer replaces it. Data are plain Parquet folders that Spark writes, never changed, so a reader
+of one version sees one state. With no root everything stays in memory, which serves to wrap DataFrames.
 """
 
 from __future__ import annotations
 
 import copy
 import json
+import time
 import uuid
 from typing import Any
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 from ..schema import DimensionSpec, TensorSpec
 
 
+#: Seconds after which an unreadable version is taken for a dead writer's.
+STALE = 60.0
+
+
 class ConflictError(RuntimeError):
     """Another writer committed first."""
 
@@ -54,9 +60,8 @@ class Files:
         stream.close()
         return True
 
-    def rename(self, a: str, b: str) -> None:
-        if not self.fs.rename(self.path(a), self.path(b)):
-            raise OSError(f"{a} can't be renamed")
+    def age(self, name: str) -> float:
+        return time.time() - self.fs.getFileStatus(self.path(name)).getModificationTime() / 1000
 
     def delete(self, name: str) -> None:
         self.fs.delete(self.path(name), True)
@@ -82,24 +87,33 @@ class Catalog:
 
     def refresh(self) -> None:
         """Read the newest version; inside a transaction the state at its start holds."""
-        if self.files and not self.depth and (found := self.versions()):
-            self.load(found[-1])
+        if self.files and not self.depth:
+            for version in reversed(self.versions()):
+                if self.finished(version):
+                    return self.load(version)
 
     def load(self, version: int) -> None:
         self.version, self.tree = version, json.loads(self.files.read(f"_manifest/{version:012d}.json"))
 
+    def finished(self, version: int) -> bool:
+        try:
+            return isinstance(json.loads(self.files.read(f"_manifest/{version:012d}.json")), dict)
+        except (ValueError, Py4JError):  # a writer is at it, or died
+            return False
+
     def commit(self) -> None:
         if self.depth:
             return
         if self.files:
-            new = self.version + 1
-            if not self.files.create(f"_manifest/{new:012d}.claim", uuid.uuid4().hex):
-                self.refresh()
-                raise ConflictError(f"version {new} is another writer's; nothing was changed")
-            part = f"_manifest/{new:012d}.part"
-            self.files.delete(part)
-            self.files.create(part, json.dumps(self.tree))
-            self.files.rename(part, f"_manifest/{new:012d}.json")
+            new, text = self.version + 1, json.dumps(self.tree)
+            name = f"_manifest/{new:012d}.json"
+            if not self.files.create(name, text):
+                dead = not self.finished(new) and self.files.age(name) > STALE
+                if dead:
+                    self.files.delete(name)
+                if not dead or not self.files.create(name, text):
+                    self.refresh()
+                    raise ConflictError(f"version {new} is another writer's; nothing was changed")
         self.version += 1
         self.written.clear()
 
@@ -125,14 +139,6 @@ class Catalog:
             raise
         return out
 
-    def vacuum(self) -> int:
-        """Delete data files that no kept version names; returns how many folders went."""
-        used = {s["path"] for v in self.versions() for s in segments_of(json.loads(self.files.read(f"_manifest/{v:012d}.json")))}
-        stale = [n for n in self.files.names("data") if f"data/{n}" not in used]
-        for n in stale:
-            self.files.delete(f"data/{n}")
-        return len(stale)
-
     # -- nodes
 
     def node(self, path: tuple[str, ...], tree: dict[str, Any] | None = None) -> dict[str, Any]:
@@ -164,8 +170,3 @@ class Catalog:
         self.written.append(path)
         rows.sortWithinPartitions("idx").write.option("compression", "zstd").parquet(f"{self.root}/{path}")
         return path
-
-
-def segments_of(tree: dict[str, Any]) -> list[dict]:
-    own = [s for t in tree["tensors"].values() for s in t["segments"]]
-    return own + [s for w in tree["workspaces"].values() for s in segments_of(w)]

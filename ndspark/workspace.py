@@ -96,6 +96,8 @@ class TensorRef:
     def view(self, item: Any) -> View:
         """The view that t[item] means: per axis a slice, positions, a mask or a filter; ... fills up."""
         items = item if isinstance(item, tuple) else (item,)
+        if not self.rank and items == (slice(None),):  # all of a scalar
+            items = ()
         if sum(x is Ellipsis for x in items) > 1 or len(items) - (Ellipsis in [x for x in items if x is Ellipsis]) > self.rank:
             raise IndexError(f"{self.name} has {self.rank} axes")
         at = next((k for k, x in enumerate(items) if x is Ellipsis), None)

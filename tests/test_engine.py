@@ -1,6 +1,7 @@
 """Behaviour of workspaces, tensors, filters, groups and writes, against numpy."""
 
 import operator
+import os
 
 import numpy as np
 import pytest
@@ -351,6 +352,54 @@ def test_transaction(ws, spark):
     assert list(got(before, "Age")) == [0, 1, 2]  # a version is one state
 
 
+def test_a_dead_writer_blocks_nobody(ws, spark):
+    """A version that a writer left unfinished is not seen, and is replaced once it is old."""
+    ws.d = Dimension(3)
+    ws.A = Tensor("int8", ("d",), inits=np.arange(3))
+    root = ws._catalog.root
+    unfinished = f"{root}/_manifest/{ws._catalog.version + 1:012d}.json"
+    with open(unfinished, "w") as f:
+        f.write('{"dims": {"d"')
+    assert list(got(connect(root, spark), "A")) == [0, 1, 2]
+    with pytest.raises(ConflictError):  # it may still be at it
+        ws.B = Tensor("int8", ("d",), inits=np.arange(3))
+    os.utime(unfinished, (1, 1))
+    ws.B = Tensor("int8", ("d",), inits=np.arange(3))
+    assert list(got(connect(root, spark), "B")) == [0, 1, 2]
+
+
+def test_rows_as_filters(ws, spark):
+    ws.d = Dimension(20)
+    ws.A = Tensor("int8", ("d",), inits=np.arange(20))
+    ws.M = Tensor("int8", ("d", 3), inits=np.arange(60).reshape(20, 3))
+    even = spark.range(0, 20, 2).union(spark.range(0, 4, 2))
+    assert list(got(ws, "A", ws.d[even])) == list(range(0, 20, 2))
+    assert list(got(ws, "A", ~ws.d[even] & (ws.A > 9))) == [11, 13, 15, 17, 19]
+    assert (got(ws, "M", ws.d[even] - ws.d[:4]) == np.arange(60).reshape(20, 3)[4::2]).all()
+    assert [r["sum"] for r in ws[ws.d[even]].groupby(np.arange(10) % 2).sum("M").where("i1 = 0").orderBy("label").collect()] == [3 * sum(range(0, 20, 4)), 3 * sum(range(2, 20, 4))]
+
+
+def test_batches(ws):
+    ws.d = Dimension(10)
+    ws.A = Tensor("int8", ("d",), inits=np.arange(10))
+    ws.M = Tensor("int8", ("d", 3), inits=np.arange(30).reshape(10, 3))
+    ws.J = Tensor("float32", ("d", None), jagged=True, inits=[np.arange(k) for k in range(10)])
+    view = ws[ws.A > 2]
+    at, values = zip(*view.batches("M", 3), strict=True)
+    assert [len(x) for x in at] == [3, 3, 1] and (np.concatenate(values) == np.arange(30).reshape(10, 3)[3:]).all()
+    assert [x.tolist() for _, x in view.batches("A", 5)] == [[3, 4, 5, 6, 7], [8, 9]]
+    assert [len(r) for _, rows in view.batches("J", 4) for r in rows] == list(range(3, 10)) and [*ws[ws.A > 99].batches("A")] == []
+
+
+def test_labels_are_read_beside_the_matrix(spark):
+    """Labels from the matrix's own file: no join, and no row per value before the labels."""
+    rows = spark.range(40).select("id", (F.col("id") % 3).alias("kind"), F.array(F.col("id").cast("float"), F.lit(1.0).cast("float")).alias("m"))
+    ws = wrap(rows, "d", "id", {"Kind": "kind", "M": "m"}, {"m": (None, 2)})
+    plan = ws.d.groupby("Kind").sum("M")
+    assert "Join" not in plan._jdf.queryExecution().toString()
+    assert [r["sum"] for r in plan.where("i1 = 0").orderBy("label").collect()] == [sum(range(k, 40, 3)) for k in range(3)]
+
+
 def test_append_rows(ws, spark):
     ws.d = Dimension(None)
     ws.A, ws.M = Tensor("int64", ("d",)), Tensor("float32", ("d", None))
