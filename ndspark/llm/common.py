@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.staging import shared_folder, staged
+
+__all__ = ["cut", "in_fold", "labelled_sample", "partitions", "shared_folder", "slices", "table"]
+
 #: Rows turned into Python objects at a time; bounds a worker's memory whatever the Arrow batch holds.
 SLICE_ROWS = 512
 
@@ -18,22 +21,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the cluster's spark.checkpoint.dir; set a folder of our own only where none is set."""
-    if not spark.conf.get("spark.checkpoint.dir", "") and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ndspark-checkpoint-"))
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share."""
-    ensure_checkpoint_dir(spark)
-    return spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Materialise df in the shared checkpoint folder; later reads survive lost executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return staged(df)
 
 
 def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:

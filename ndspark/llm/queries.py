@@ -62,11 +62,33 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_shards, op3_packing, op4_quality, op5_topk, op6_toxicity, op7_fingerprints, op8_neardup, op9_chat, op10_bpe)}
+# What SQL can tell of three queries, by the same operators: sizes, edited texts, decoded texts.
+
+
+def shard_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2_shards(spark, sf_dir).select("doc_id", "size")
+
+
+def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+def decoded_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_bpe(spark, sf_dir).select("doc_id", "decoded_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_shards, op3_packing, op4_quality, op5_topk, op6_toxicity, op7_fingerprints, op8_neardup, op9_chat, op10_bpe, shard_sizes, edited_texts, decoded_texts)}
 
 _ESCAPED = "replace(replace(replace({0}, '\\', '\\\\'), '<|', '<\\|'), '|>', '|\\>')"
 
 ORACLE: dict[str, str] = {
+    "shard_sizes": "SELECT doc_id, CAST(strlen(coalesce(text, '')) + 8 AS BIGINT) AS size FROM documents",
+    "edited_texts": """
+        WITH d AS (
+            SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, row_number() OVER (ORDER BY doc_id) AS k FROM documents),
+        e AS (SELECT d.doc_id, d.t, d.n, d.n // 2 AS h, f.t AS next FROM d JOIN d f ON f.k = d.k % (SELECT count(*) FROM d) + 1)
+        SELECT doc_id, n AS n_chars, sha256(substr(t, 1, n - h) || substr(next, 1, h)) AS edited_sha256 FROM e""",
+    "decoded_texts": "SELECT doc_id, sha256(coalesce(text, '')) AS decoded_sha256 FROM documents",
     "op5_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings

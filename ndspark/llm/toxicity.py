@@ -26,8 +26,9 @@ from pyspark.sql import types as T
 
 from .common import labelled_sample, slices
 
-#: Labelled documents of each class that a fit reads at most (about), terms that it keeps at most.
-PER_CLASS, MAX_TERMS = 4000, 400
+#: Labelled documents of each class that a fit reads at most (about), terms that it keeps at most, and candidates, the most
+#: frequent in toxic documents of the sample, that it chooses from. All are parameters of fit.
+PER_CLASS, MAX_TERMS, CANDIDATES = 4000, 400, 8000
 #: A term must be in this share of toxic documents (and in three at least), and so much likelier there
 #: than elsewhere. A document that n chosen terms cover counts SEEN ** n for the next.
 MIN_SHARE, MIN_DOCS, MIN_LIFT, SEEN = 0.003, 3, 25.0, 0.25
@@ -200,7 +201,7 @@ def _terms(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([n[1][t] for t in terms], pa.int64()), pa.array([n[0][t] for t in terms], pa.int64())], ["term", "pos", "neg"])
 
 
-def chosen(counts: dict[str, int], having: list[list[str]]) -> list[str]:
+def chosen(counts: dict[str, int], having: list[list[str]], max_terms: int = MAX_TERMS) -> list[str]:
     """Terms that explain the toxic documents, each given by the candidates it has: again and again the
     one that covers most of what the others leave. Words that toxic documents merely share, as near
     copies do, add little beside the terms that make them toxic."""
@@ -213,7 +214,7 @@ def chosen(counts: dict[str, int], having: list[list[str]]) -> list[str]:
     heap = [(-float(len(ks)), -counts[t], -len(t), t) for t, ks in docs.items()]  # lazily updated: gains only fall
     heapq.heapify(heap)
     kept: list[str] = []
-    while heap and len(kept) < MAX_TERMS:
+    while heap and len(kept) < max_terms:
         _, pos, size, term = heapq.heappop(heap)
         gain = float(left[docs[term]].sum())
         if gain < max(MIN_DOCS - 1, MIN_SHARE * len(having)):
@@ -229,9 +230,9 @@ def chosen(counts: dict[str, int], having: list[list[str]]) -> list[str]:
     return kept
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, id_col: str = "doc_id", text_col: str = "text", per_class: int = PER_CLASS) -> Model:
-    """A model from about per_class labelled documents of each class at most, read by Spark; what comes
-    to the driver is bounded by the number of terms and by the sample."""
+def fit(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, id_col: str = "doc_id", text_col: str = "text", per_class: int = PER_CLASS, max_terms: int = MAX_TERMS, candidates_: int = CANDIDATES) -> Model:
+    """A model of at most max_terms terms, out of candidates_, from about per_class labelled documents of each class
+    at most, read by Spark; what comes to the driver is bounded by these. Scoring has no such bounds."""
     sample, stands_for = labelled_sample(docs, labels, label, held_out, per_class, id_col, text_col)
     if not stands_for:
         return Model((), (), ())
@@ -243,7 +244,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, id_col
         least = max(MIN_DOCS, MIN_SHARE * size[1])
         rate = lambda n, y: (F.col(n) + 0.5) / (size[y] + 1)
         counts = sample.mapInArrow(_terms, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-        strong = counts.where((F.col("pos") >= least) & (rate("pos", 1) / rate("neg", 0) >= MIN_LIFT)).orderBy(F.desc("pos"), "term").limit(20 * MAX_TERMS)
+        strong = counts.where((F.col("pos") >= least) & (rate("pos", 1) / rate("neg", 0) >= MIN_LIFT)).orderBy(F.desc("pos"), "term").limit(candidates_)
         counted = {r.term: r.pos for r in strong.collect()}
 
         def candidates(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,7 +252,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, id_col
                 words = [set(WORD.findall(text.lower())) for text in b.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array([[t for t in {*ws, *(w[:k] + "*" for w in ws for k in PREFIXES if len(w) > k)} if t in counted] for ws in words], pa.list_(pa.string()))], ["terms"])
 
-        terms = chosen(counted, [r.terms for r in sample.where("y = 1").mapInArrow(candidates, "terms array<string>").collect()])
+        terms = chosen(counted, [r.terms for r in sample.where("y = 1").mapInArrow(candidates, "terms array<string>").collect()], max_terms)
 
         def misspelled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             """Near hits by term in documents that aren't toxic."""

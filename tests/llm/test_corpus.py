@@ -120,6 +120,36 @@ def test_shards(spark, awkward, nothing, tmp_path):
     assert sharding.shard(nothing).count() == 0
 
 
+def test_shards_by_row(spark, awkward):
+    """Sizes, checksums, slots, places and shards against a plain computation."""
+    texts = [("é" * (k % 13) + "x" * (k * 7 % 200)) if k % 11 else None for k in range(500)]
+    docs = frame(spark, texts).unionByName(awkward.select((F.col("doc_id") + 1000).alias("doc_id"), "text"))
+    of = [*enumerate(texts), *((None if k is None else k + 1000, t) for k, t in AWKWARD)]
+    rows = sharding.shard(docs, 24).collect()
+    raw = lambda t: (t or "").encode()
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in rows) == Counter((k, len(raw(t)) + 8, zlib.crc32(raw(t))) for k, t in of)
+    n_rows, n_bytes = [0] * 4096, [0] * 4096
+    for r in rows:
+        n_rows[r.vslot] += 1
+        n_bytes[r.vslot] += r.size
+    first = sharding.SlotMap.balanced(n_rows, n_bytes, 24)
+    assert all((r.shard, r.edited_shard) == (first.shard_of[r.vslot], first.grown().shard_of[r.vslot]) for r in rows)
+    assert len({(r.shard, r.slot) for r in rows}) == len(rows) and max(Counter((r.doc_id, r.text_crc32, r.vslot) for r in rows).values()) == 2
+
+
+def test_links_against_all_pairs(spark):
+    """Linked parts of random texts against a comparison of all parts of a text."""
+    rng = random.Random(12)
+    bits = ["user: bob7 ", "aB3dE5gH7jK9mN1pQ3sT5 ", "https://h.example/a ", "token = abcdef99 ", "AKIA" + "Z9" * 10 + " ", "f0" * 13 + " ", "plain words here " * 4, ". " * 60, "10.0.0.1:8080 "]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 12))) for _ in range(200)]
+    for r in secrets.secrets(frame(spark, texts)).collect():
+        strong = secrets.base_spans(texts[r.doc_id])
+        parts = [*strong, *secrets.weak_parts(texts[r.doc_id], strong)]
+        near = lambda a, b: a[0] <= b[2] + 200 and b[0] <= a[2] + 200
+        linked = [p for p in parts if p[1] > 2 and any((p[1] in (0, 2, 4)) != (o[1] in (0, 2, 4)) and near(p, o) for o in parts)]
+        assert r.n_linked == len(linked) and r.spans == secrets.joined(sorted([*strong, *linked]))
+
+
 def test_rebalanced():
     m = sharding.SlotMap.balanced([1] * 100, list(range(1, 101)), 4)
     skewed = [500 if s == 0 and k < 20 else b for k, (s, b) in enumerate(zip(m.shard_of, m.n_bytes, strict=True))]
