@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -58,7 +60,9 @@ def weak_parts(text: str, strong: list[tuple[int, int, int]]) -> list[tuple[int,
         t = m.group()
         if any(c.islower() for c in t) and any(c.isupper() for c in t) and any(c.isdigit() for c in t):
             found.append((m.start(), 4, m.end()))
-    return [p for p in found if not any(s <= p[0] and p[2] <= e for s, _, e in strong)]
+    starts, reach = [s for s, _, _ in strong], list(accumulate((e for _, _, e in strong), max))
+    inside = lambda s, e: (k := bisect_right(starts, s)) > 0 and e <= reach[k - 1]
+    return [p for p in found if not inside(p[0], p[2])]
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
