@@ -4,8 +4,9 @@ Records hash into thousands of slots that never change; only the slot-to-shard m
 built from the bytes of each slot, stored under a version, and edited (never rebuilt) to rebalance
 or to add a shard. Everything on the driver has one entry per slot, whatever the input's size.
 
-Null texts have no bytes, null or repeated ids hash like any other value, an empty table gives an
-empty result and a map of empty slots; other columns of the input are ignored.
+Null texts have no bytes, null or repeated ids hash like any other value (copies of one row stay in one slot
+unless they would outweigh it), an empty table gives an empty result and a map of empty slots; other columns of the
+input are ignored.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from .common import cut
 
 N_SLOTS = 4096
 ROW_BYTES = 8
+#: A record repeated more often than this, and than SPREAD times the mean rows of a slot, is spread over the slots copy by copy.
+COPIES, SPREAD = 64, 4
 
 
 @dataclass(frozen=True)
@@ -123,12 +126,32 @@ def slot_stats(slotted: DataFrame, n_slots: int = N_SLOTS) -> tuple[list[int], l
     return n_rows, n_bytes
 
 
+def spread(slotted: DataFrame, n_rows: list[int], n_slots: int = N_SLOTS) -> DataFrame:
+    """slotted, with the copies of rows that would outweigh a slot dealt out over all slots by their place in it.
+
+    Such rows number less than n_slots / SPREAD, as each holds more than SPREAD slots' mean rows; the others stay."""
+    most = max(COPIES, SPREAD * sum(n_rows) // n_slots)
+    full = [slot for slot, n in enumerate(n_rows) if n > most]
+    if not full:
+        return slotted
+    hot = slotted.where(F.col("vslot").isin(full)).groupBy("doc_id", "text_crc32").agg(F.count("*").alias("copies")).where(F.col("copies") > most)
+    hot = hot.withColumnsRenamed({"doc_id": "__id", "text_crc32": "__crc"})
+    rows = slotted.withColumn("__copy", F.monotonically_increasing_id())
+    rows = rows.join(F.broadcast(hot), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_crc32") == F.col("__crc")), "left")
+    dealt = F.pmod(F.xxhash64("doc_id", "text_crc32", "__copy"), F.lit(n_slots)).cast("int")
+    return cut(rows.withColumn("vslot", F.when(F.col("copies").isNotNull(), dealt).otherwise(F.col("vslot"))).select(slotted.columns))
+
+
 def shard(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id", text_col: str = "text", n_slots: int = N_SLOTS, map_path: str | None = None) -> DataFrame:
     """Place every row: shard, the gapless place `slot` in it, its virtual slot, and its shard once the
     map has been edited for one shard more. Both map versions are written to map_path if it is given."""
     spark = docs.sparkSession
     slotted = cut(with_slots(docs, id_col, text_col, n_slots))
-    first = SlotMap.balanced(*slot_stats(slotted, n_slots), n_shards)
+    stats = slot_stats(slotted, n_slots)
+    even = spread(slotted, stats[0], n_slots)
+    if even is not slotted:
+        slotted, stats = even, slot_stats(even, n_slots)
+    first = SlotMap.balanced(*stats, n_shards)
     second = first.grown()
     if map_path:
         first.save(spark, map_path)
