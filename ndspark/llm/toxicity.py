@@ -26,13 +26,14 @@ from pyspark.sql import types as T
 
 from .common import labelled_sample, slices
 
-#: Labelled documents of each class that a fit reads at most (about), terms that it keeps at most, and candidates, the most
-#: frequent in toxic documents of the sample, that it chooses from. All are parameters of fit.
-PER_CLASS, MAX_TERMS, CANDIDATES = 4000, 400, 8000
-#: A term must be in this share of toxic documents (and in three at least), and so much likelier there
-#: than elsewhere. A document that n chosen terms cover counts SEEN ** n for the next.
+#: Labelled documents of each class that a fit reads at most (about), and the candidates that it weighs at a time, those
+#: most frequent in toxic documents first. Both are parameters of fit.
+PER_CLASS, CANDIDATES = 4000, 8000
+#: A term must be in MIN_DOCS toxic documents and so much likelier there than elsewhere, and add this share of the toxic
+#: documents to those explained. A document that n chosen terms cover counts SEEN ** n for the next, so that
+#: less than 1 / (1 - SEEN) / MIN_SHARE terms can be chosen at a time.
 MIN_SHARE, MIN_DOCS, MIN_LIFT, SEEN = 0.003, 3, 25.0, 0.25
-PREFIXES = range(4, 9)
+PREFIXES, LONGEST = range(4, 9), 40
 #: Code points of context on either side of a hit.
 WINDOW = 48
 
@@ -190,20 +191,25 @@ class Model:
         return 1 / (1 + np.exp(-features(found) @ np.array(self.weights))) if self.terms else np.zeros(len(found))
 
 
+def entries(text: str) -> set[str]:
+    """What a text could add to the lexicon: words, of those over LONGEST characters beginnings alone, and beginnings."""
+    words = {w for w in WORD.findall(text.lower()) if not w.isdigit()}
+    return {*(w for w in words if len(w) <= LONGEST), *(w[:k] + "*" for w in words for k in PREFIXES if len(w) > k)}
+
+
 def _terms(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents of either class that have a term: sums over each slice."""
     for b in slices(batches):
         n: tuple[Counter, Counter] = Counter(), Counter()
         for y, text in zip(b.column("y").to_pylist(), b.column("text").to_pylist(), strict=True):
-            words = {w for w in WORD.findall(text.lower()) if len(w) <= 40 and not w.isdigit()}
-            n[y].update({*words, *(w[:k] + "*" for w in words for k in PREFIXES if len(w) > k)})
+            n[y].update(entries(text))
         terms = list(n[0] | n[1])
         yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([n[1][t] for t in terms], pa.int64()), pa.array([n[0][t] for t in terms], pa.int64())], ["term", "pos", "neg"])
 
 
-def chosen(counts: dict[str, int], having: list[list[str]], max_terms: int = MAX_TERMS) -> list[str]:
+def chosen(counts: dict[str, int], having: list[list[str]], least: float) -> list[str]:
     """Terms that explain the toxic documents, each given by the candidates it has: again and again the
-    one that covers most of what the others leave. Words that toxic documents merely share, as near
+    one that covers most of what the others leave, as long as that is `least`. Words that toxic documents merely share, as near
     copies do, add little beside the terms that make them toxic."""
     where: dict[str, list[int]] = {}
     for k, terms in enumerate(having):
@@ -214,10 +220,10 @@ def chosen(counts: dict[str, int], having: list[list[str]], max_terms: int = MAX
     heap = [(-float(len(ks)), -counts[t], -len(t), t) for t, ks in docs.items()]  # lazily updated: gains only fall
     heapq.heapify(heap)
     kept: list[str] = []
-    while heap and len(kept) < max_terms:
+    while heap:
         _, pos, size, term = heapq.heappop(heap)
         gain = float(left[docs[term]].sum())
-        if gain < max(MIN_DOCS - 1, MIN_SHARE * len(having)):
+        if gain < least:
             continue
         if heap and -heap[0][0] > gain + 1e-9:
             heapq.heappush(heap, (-gain, pos, size, term))
@@ -230,9 +236,38 @@ def chosen(counts: dict[str, int], having: list[list[str]], max_terms: int = MAX
     return kept
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, id_col: str = "doc_id", text_col: str = "text", per_class: int = PER_CLASS, max_terms: int = MAX_TERMS, candidates_: int = CANDIDATES) -> Model:
-    """A model of at most max_terms terms, out of candidates_, from about per_class labelled documents of each class
-    at most, read by Spark; what comes to the driver is bounded by these. Scoring has no such bounds."""
+def lexicon(sample: DataFrame, size: dict[int, int], candidates_: int = CANDIDATES) -> list[str]:
+    """The terms of a sample (y, text) with so many rows of each class. Where more than candidates_ terms come into question,
+    the choice goes on among the documents that none of the chosen terms is in, until nothing more can be chosen."""
+    kept: list[str] = []
+    rate = lambda n, y: (F.col(n) + 0.5) / (size[y] + 1)
+    while True:
+        done = frozenset(kept)
+
+        def left(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in slices(batches):
+                rows = zip(b.column("y").to_pylist(), b.column("text").to_pylist(), strict=True)
+                yield b.filter(pa.array([y == 0 or done.isdisjoint(entries(text)) for y, text in rows], pa.bool_()))
+
+        rows = sample.mapInArrow(left, "y int, text string") if kept else sample
+        counts = rows.mapInArrow(_terms, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+        strong = counts.where((F.col("pos") >= MIN_DOCS) & (rate("pos", 1) / rate("neg", 0) >= MIN_LIFT)).orderBy(F.desc("pos"), "term").limit(candidates_)
+        counted = {r.term: r.pos for r in strong.collect()}
+
+        def candidates(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in slices(batches):
+                yield pa.RecordBatch.from_arrays([pa.array([[t for t in entries(text) if t in counted] for text in b.column("text").to_pylist()], pa.list_(pa.string()))], ["terms"])
+
+        having = rows.where("y = 1").mapInArrow(candidates, "terms array<string>").where(F.size("terms") > 0)
+        new = chosen(counted, [r.terms for r in having.collect()], max(MIN_DOCS - 1, MIN_SHARE * size[1])) if counted else []
+        kept += new
+        if not new or len(counted) < candidates_:
+            return kept
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, id_col: str = "doc_id", text_col: str = "text", per_class: int = PER_CLASS, candidates_: int = CANDIDATES) -> Model:
+    """A model from about per_class labelled documents of each class at most, read by Spark, which also bounds the terms
+    that come to the driver, candidates_ at a time. Scoring has no such bounds."""
     sample, stands_for = labelled_sample(docs, labels, label, held_out, per_class, id_col, text_col)
     if not stands_for:
         return Model((), (), ())
@@ -241,18 +276,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, id_col
         size = {r.y: r.n for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
         if len(size) < 2:
             return Model((), (), ())
-        least = max(MIN_DOCS, MIN_SHARE * size[1])
-        rate = lambda n, y: (F.col(n) + 0.5) / (size[y] + 1)
-        counts = sample.mapInArrow(_terms, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-        strong = counts.where((F.col("pos") >= least) & (rate("pos", 1) / rate("neg", 0) >= MIN_LIFT)).orderBy(F.desc("pos"), "term").limit(candidates_)
-        counted = {r.term: r.pos for r in strong.collect()}
-
-        def candidates(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in slices(batches):
-                words = [set(WORD.findall(text.lower())) for text in b.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array([[t for t in {*ws, *(w[:k] + "*" for w in ws for k in PREFIXES if len(w) > k)} if t in counted] for ws in words], pa.list_(pa.string()))], ["terms"])
-
-        terms = chosen(counted, [r.terms for r in sample.where("y = 1").mapInArrow(candidates, "terms array<string>").collect()], max_terms)
+        terms = lexicon(sample, size, candidates_)
 
         def misspelled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             """Near hits by term in documents that aren't toxic."""

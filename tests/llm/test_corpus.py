@@ -150,6 +150,32 @@ def test_links_against_all_pairs(spark):
         assert r.n_linked == len(linked) and r.spans == secrets.joined(sorted([*strong, *linked]))
 
 
+def test_weak_parts_inside_findings():
+    rng = random.Random(13)
+    bits = ["user: bob7 ", "aB3dE5gH7jK9mN1pQ3sT5", "https://h.example/a ", "token = ", "token=user:", "f0" * 13, " ", "f0A" * 9, "10.0.0.1:8080 "]
+    for _ in range(300):
+        text = "".join(rng.choice(bits) for _ in range(rng.randint(0, 14)))
+        strong = secrets.base_spans(text)
+        every = secrets.weak_parts(text, [])
+        assert secrets.weak_parts(text, strong) == [p for p in every if not any(s <= p[0] and p[2] <= e for s, _, e in strong)]
+
+
+@pytest.mark.parametrize("row", [(7, "one row"), (None, None)])
+def test_shards_of_one_row_repeated(spark, row):
+    """A third of all rows are one row: its copies go to many slots, and shards stay even."""
+    docs = frame(spark, [f"text {k}" for k in range(4000)]).unionByName(spark.createDataFrame([row] * 2000, "doc_id long, text string"))
+    rows = sharding.shard(docs, 24).collect()
+    copies, loads, slots = Counter(), Counter(), {}
+    for r in rows:
+        loads[r.shard] += r.size
+        slots.setdefault(r.shard, []).append(r.slot)
+        copies[r.vslot] += r.doc_id == row[0]
+    assert len(rows) == 6000 and sum(copies.values()) == 2000 + (row[0] == 7) and max(copies.values()) < 10
+    assert max(loads.values()) < 1.02 * min(loads.values())
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert all(r.edited_shard in (r.shard, 24) for r in rows)
+
+
 def test_rebalanced():
     m = sharding.SlotMap.balanced([1] * 100, list(range(1, 101)), 4)
     skewed = [500 if s == 0 and k < 20 else b for k, (s, b) in enumerate(zip(m.shard_of, m.n_bytes, strict=True))]
@@ -327,6 +353,23 @@ def test_toxicity(spark, awkward, nothing):
     assert toxicity.score(docs, silent).where("score > 0").count() == 0
 
 
+def test_lexicon_beyond_its_candidates(spark):
+    """Near copies of a long toxic text hold the most frequent candidates; terms of the others are found all the same."""
+    rng = random.Random(6)
+    family = " ".join(f"rare{k:03d}word" for k in range(60))
+    texts = [(1, f"{family} copy{k} of it") for k in range(60)] + [(1, f"number {rng.random()} is {rng.choice(['blorkish', 'dreadful'])}") for _ in range(40)]
+    texts += [(0, f"number {rng.random()} is calm") for _ in range(300)]
+    sample = spark.createDataFrame(texts, "y int, text string")
+    for most in (8000, 50):
+        terms = toxicity.lexicon(sample, {0: 300, 1: 100}, most)
+        words = toxicity.Words(toxicity.Lexicon(terms))
+        assert words["blorkish"] == words["dreadful"] == 0 <= words["rare000word"] and words["number"] < 0 and len(terms) < 20, terms
+
+
+def test_long_words_by_their_beginnings(spark):
+    assert toxicity.entries("a" * 41 + " bcdef 1234567") == {*("a" * k + "*" for k in range(4, 9)), "bcdef", "bcde*"}
+
+
 def test_sample_is_bounded_and_blind(spark):
     docs = frame(spark, [str(k) for k in range(2000)])
     labels = spark.createDataFrame([(k, k % 2) for k in range(2000)], "doc_id long, y int")
