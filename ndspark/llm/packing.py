@@ -217,11 +217,12 @@ def places(patterns: Counter[Pattern]) -> pd.DataFrame:
 
 def pack(cut_pieces: DataFrame, size: int = SEQUENCE) -> DataFrame:
     """cut_pieces with sequence_id and offset. The rank of a piece within its length comes from counts by
-    (length, bucket) and a numbering inside each bucket, so that a very common length is spread."""
+    (length, bucket) and a numbering inside each bucket, so that a very common length, or row, is spread."""
     spark = cut_pieces.sparkSession
     rows = cut(cut_pieces)
-    # as the input grows a bucket keeps its size
-    bucketed = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(4 * partitions(spark))).cast("int"))
+    # as the input grows a bucket keeps its size; a row's place in what was cut parts it from its copies
+    spot = F.xxhash64("doc_id", "piece", F.monotonically_increasing_id())
+    bucketed = rows.withColumn("bucket", F.pmod(spot, F.lit(4 * partitions(spark))).cast("int"))
     by_bucket = bucketed.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     before = by_bucket.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("bucket")) - F.col("n")).drop("n")
     counts = {r.length: r.n for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `size` lengths

@@ -214,6 +214,19 @@ def test_pack(spark, awkward, nothing):
     assert packing.pack(packing.pieces(nothing, JSON, RANKS, PATTERN)).count() == 0
 
 
+def test_pack_of_one_row_repeated(spark):
+    """A third of all pieces are copies of one row: each gets a place of its own, sequences have no gaps."""
+    docs = frame(spark, [f"text {k} " * (1 + k % 40) for k in range(800)]).unionByName(spark.createDataFrame([(3, "one row")] * 400, "doc_id long, text string"))
+    rows = packing.pack(packing.pieces(docs.repartition(5), JSON, RANKS, PATTERN)).collect()
+    filled = {}
+    for r in rows:
+        filled.setdefault(r.sequence_id, []).append((r.offset, r.offset + r.length))
+    assert len(rows) == 1200 and sum(r.length for r in rows if r.doc_id == 3) >= 400
+    for ends in filled.values():
+        ends.sort()
+        assert [a for a, _ in ends] == [0, *(b for _, b in ends[:-1])] and ends[-1][1] <= 1024
+
+
 def test_plan_covers_exactly():
     rng = random.Random(7)
     for _ in range(5):
