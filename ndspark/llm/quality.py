@@ -17,13 +17,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import labelled_sample, slices
+from .common import cut, labelled_sample, slices
 
 #: Bytes of a passage; labelled documents of each class that a fit reads at most (about); passages of
-#: one of these, beyond which neighbours are averaged (in a fit only).
-PASSAGE, PER_CLASS, FIT_PASSAGES = 400, 2500, 64
+#: one of these, beyond which neighbours are averaged (in a fit only); passages of all of these, about 70 MB of features.
+PASSAGE, PER_CLASS, FIT_PASSAGES, FIT_ROWS = 400, 2500, 64, 80_000
 HIDDEN, GATES, EPOCHS, BATCH, RATE, DECAY = 24, 12, 14, 128, 4e-3, 1e-4
 
 #: Kinds of characters, by byte; the last kind has all others.
@@ -135,24 +136,34 @@ def train(bags: list[np.ndarray], y: np.ndarray, weight: np.ndarray, seed: int =
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, id_col: str = "doc_id", text_col: str = "text", per_class: int = PER_CLASS) -> Model | None:
+def passages_each(sample: DataFrame, rows: int) -> int:
+    """How many passages a text of sample may bring, so that all bring at most about `rows`: a power of two, FIT_PASSAGES at most."""
+    steps = [2**k for k in range(FIT_PASSAGES.bit_length()) if 2**k <= FIT_PASSAGES]
+    own = F.ceil(F.octet_length("text") / PASSAGE)
+    totals = sample.agg(*[F.coalesce(F.sum(F.greatest(F.lit(1), F.least(own, F.lit(k)))), F.lit(0)) for k in steps]).first()
+    return max([1, *(k for k, n in zip(steps, totals, strict=True) if n <= rows)])
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, id_col: str = "doc_id", text_col: str = "text", per_class: int = PER_CLASS, rows: int = FIT_ROWS) -> Model | None:
     """A model from about per_class labelled documents of each class at most; Spark encodes them, the driver
-    gets their passages' features (bounded by per_class and FIT_PASSAGES)."""
+    gets their passages' features, those of about `rows` passages at most (one for each document at least)."""
     sample, stands_for = labelled_sample(docs, labels, label, held_out, per_class, id_col, text_col)
     if not stands_for:
         return None
+    sample = cut(sample)
+    most = passages_each(sample, rows)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             x, firsts = encode(b.column("text").to_pylist())
-            bags = [pooled(x[i:j], FIT_PASSAGES).astype(np.float32).tobytes() for i, j in zip(firsts, [*firsts[1:], len(x)], strict=True)]
+            bags = [pooled(x[i:j], most).astype(np.float32).tobytes() for i, j in zip(firsts, [*firsts[1:], len(x)], strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("y"), pa.array(bags, pa.binary())], ["y", "bag"])
 
-    rows = sorted((r.y, bytes(r.bag)) for r in sample.mapInArrow(run, "y int, bag binary").dropDuplicates().collect())
-    if len({y for y, _ in rows}) < 2:
+    bags = sorted((r.y, bytes(r.bag)) for r in sample.mapInArrow(run, "y int, bag binary").dropDuplicates().collect())
+    if len({y for y, _ in bags}) < 2:
         return None
-    y = np.array([y for y, _ in rows], np.float32)
-    return train([np.frombuffer(b, np.float32).reshape(-1, N_FEATURES) for _, b in rows], y, np.array([stands_for[int(k)] for k in y], np.float32))
+    y = np.array([y for y, _ in bags], np.float32)
+    return train([np.frombuffer(b, np.float32).reshape(-1, N_FEATURES) for _, b in bags], y, np.array([stands_for[int(k)] for k in y], np.float32))
 
 
 def score(docs: DataFrame, model: Model | None, text_col: str = "text", into: str = "score") -> DataFrame:

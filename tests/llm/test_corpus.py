@@ -306,6 +306,17 @@ def test_quality(spark, awkward, nothing):
     assert quality.score(renamed, None).where("score = 1").count() == len(AWKWARD)
 
 
+def test_passages_of_a_fit_are_bounded(spark):
+    """Texts of 1, 1, 3 and 100 passages: as many of each as the bound on all of them leaves room for."""
+    sample = frame(spark, ["", "short", "x" * 1000, "y" * 40_000])
+    assert [quality.passages_each(sample, n) for n in (80_000, 69, 68, 37, 8, 1, 0)] == [64, 64, 32, 32, 2, 1, 1]
+    rng = random.Random(3)
+    y = [k % 2 for k in range(60)]
+    docs = frame(spark, [noisy(rng, g) * 8 for g in y])
+    model = quality.fit(docs, spark.createDataFrame(list(enumerate(y)), "doc_id long, quality int"), "quality", F.lit(False), rows=70)
+    assert [r.score >= 0.5 for r in quality.score(docs, model).orderBy("doc_id").collect()] == [g == 1 for g in y]
+
+
 def test_gradients():
     rng = np.random.default_rng(0)
     bags = [rng.random((k, quality.N_FEATURES)).astype(np.float32) for k in (1, 3, 2)]

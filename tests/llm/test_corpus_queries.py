@@ -56,3 +56,22 @@ def test_pipeline_on_nothing(spark, tmp_path):
     for t in ("documents", "labels"):
         spark.read.parquet(f"{SF}/{t}.parquet").limit(0).write.parquet(str(tmp_path / f"{t}.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_pipeline_on_awkward_rows(spark, tmp_path):
+    """Null and repeated ids, null, empty and repeated texts, and columns named like those of the operators: without labels nothing is
+    rejected, copies go, rows without an id or text stay, and of one id texts that aren't alike all stay."""
+    text = [f"{w} " + " ".join(f"{w}{k}" for k in range(30)) for w in ("oak", "elm", "ash")]
+    rows = [(1, text[0]), (2, text[0]), (2, text[1]), (2, text[1]), (3, None), (4, ""), (None, text[2]), (None, text[2]), (5, f"{text[2]} password: hunter2hunter2")]
+    names = ("score", "node", "digest", "group", "sig", "extra", "size", "bucket", "kept", "held_out", "n_chars")
+    docs = spark.createDataFrame([(*r, *[k] * len(names)) for k, r in enumerate(rows)], f"doc_id long, text string, {', '.join(f'{n} int' for n in names)}")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{SF}/labels.parquet").limit(0).write.parquet(str(tmp_path / "labels.parquet"))
+    at = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        at = stage(spark, at, str(tmp_path))
+        assert at.columns == docs.columns and at.schema.simpleString() == docs.schema.simpleString(), name
+    want = [(1, text[0]), (2, text[1]), (3, None), (4, ""), (None, text[2]), (None, text[2]), (5, f"{text[2]} [SECRET]")]
+    assert sorted(((r.doc_id, r.text) for r in at.collect()), key=str) == sorted(want, key=str)
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id for r in packed), key=str) == sorted((i for i, _ in want), key=str)
